@@ -43,8 +43,8 @@ def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small enough for very long texts; smaller settings are kept."""
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         name = f"spark.sql.execution.arrow.{key}"
-        now = int(spark.conf.get(name, "0").rstrip("bB") or 0)
-        if now <= 0 or now > most:
+        now = spark.conf.get(name).lower()
+        if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > most:
             spark.conf.set(name, str(most))
 
 
