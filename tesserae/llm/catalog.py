@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from .licences import op8_licence_scan
+from .media import op9_media_columns
 from .sharding import op10_histogram_shards
 
 LLM_QUERIES = {
+    "op8_licence_scan": op8_licence_scan,
+    "op9_media_columns": op9_media_columns,
     "op10_histogram_shards": op10_histogram_shards,
 }
 LLM_SQL: dict[str, str] = {}
