@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .bpe import op5_bpe_transducer
 from .licences import op8_licence_scan
 from .media import op9_media_columns
 from .sharding import op10_histogram_shards
 
 LLM_QUERIES = {
+    "op5_bpe_transducer": op5_bpe_transducer,
     "op8_licence_scan": op8_licence_scan,
     "op9_media_columns": op9_media_columns,
     "op10_histogram_shards": op10_histogram_shards,
