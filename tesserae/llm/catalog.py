@@ -5,9 +5,11 @@ from __future__ import annotations
 from .bpe import op5_bpe_transducer
 from .licences import op8_licence_scan
 from .media import op9_media_columns
+from .packing import op1_nnls_packing
 from .sharding import op10_histogram_shards
 
 LLM_QUERIES = {
+    "op1_nnls_packing": op1_nnls_packing,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op8_licence_scan": op8_licence_scan,
     "op9_media_columns": op9_media_columns,
