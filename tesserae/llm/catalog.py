@@ -7,9 +7,11 @@ from .licences import op8_licence_scan
 from .media import op9_media_columns
 from .packing import op1_nnls_packing
 from .sharding import op10_histogram_shards
+from .simhash import op3_simhash_trie
 
 LLM_QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
+    "op3_simhash_trie": op3_simhash_trie,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op8_licence_scan": op8_licence_scan,
     "op9_media_columns": op9_media_columns,
