@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op5_bpe_transducer
 from .licences import op8_licence_scan
 from .media import op9_media_columns
+from .neighbours import op6_ivfpq_search
 from .packing import op1_nnls_packing
 from .sharding import op10_histogram_shards
 from .simhash import op3_simhash_trie
@@ -13,6 +14,7 @@ LLM_QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op3_simhash_trie": op3_simhash_trie,
     "op5_bpe_transducer": op5_bpe_transducer,
+    "op6_ivfpq_search": op6_ivfpq_search,
     "op8_licence_scan": op8_licence_scan,
     "op9_media_columns": op9_media_columns,
     "op10_histogram_shards": op10_histogram_shards,
