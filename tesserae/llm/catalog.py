@@ -9,12 +9,14 @@ from .neighbours import op6_ivfpq_search
 from .packing import op1_nnls_packing
 from .sharding import op10_histogram_shards
 from .simhash import op3_simhash_trie
+from .toxicity import op7_toxicity
 
 LLM_QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op3_simhash_trie": op3_simhash_trie,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op6_ivfpq_search": op6_ivfpq_search,
+    "op7_toxicity": op7_toxicity,
     "op8_licence_scan": op8_licence_scan,
     "op9_media_columns": op9_media_columns,
     "op10_histogram_shards": op10_histogram_shards,
