@@ -7,6 +7,7 @@ from .licences import op8_licence_scan
 from .media import op9_media_columns
 from .neighbours import op6_ivfpq_search
 from .packing import op1_nnls_packing
+from .quality import op4_quality_classifier
 from .sharding import op10_histogram_shards
 from .simhash import op3_simhash_trie
 from .toxicity import op7_toxicity
@@ -14,6 +15,7 @@ from .toxicity import op7_toxicity
 LLM_QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
     "op3_simhash_trie": op3_simhash_trie,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_transducer": op5_bpe_transducer,
     "op6_ivfpq_search": op6_ivfpq_search,
     "op7_toxicity": op7_toxicity,
