@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op5_bpe_transducer
 from .licences import op8_licence_scan
+from .linededup import op2_line_dedup
 from .media import op9_media_columns
 from .neighbours import op6_ivfpq_search
 from .packing import op1_nnls_packing
@@ -14,6 +15,7 @@ from .toxicity import op7_toxicity
 
 LLM_QUERIES = {
     "op1_nnls_packing": op1_nnls_packing,
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash_trie": op3_simhash_trie,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe_transducer": op5_bpe_transducer,
