@@ -1,0 +1 @@
+"""Value semantics: two-valued comparisons and scalar functions on Spark columns."""
