@@ -7,10 +7,9 @@ exchanged) where both have at least MIN_WORDS words, so that 0.8 or more of it
 agrees. Blank lines stay.
 
 Equal lines meet first, by a 128-bit hash. Two lines one edit apart share the
-first or the last half of their words (counted from either length), so four
-half keys tell which lines can have a partner at all; for these, and no
-others, the line and all its variants with one word left out are emitted as
-hashed keys. Equal keys are joined through grouped minima: lines left with the
+words of one end, as long as half the shorter line at most, so keys of the two
+ends tell which lines can have a partner at all; for these, and no others, the
+line and all its variants with one word left out are emitted as hashed keys. Equal keys are joined through grouped minima: lines left with the
 same words after deletion at the same place differ by an exchange there, and a
 line that equals another's variant by a word put in. So a group of any size
 yields its earliest member and never its pairs. The pair (line, earliest
@@ -26,20 +25,34 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, documents, map_batches, materialize, text_or_empty, texts_of
 
 #: Least words of both lines of a near-duplicate pair.
 MIN_WORDS = 5
+#: Bits of the filters that spare rows a shuffle; their size is fixed, so with very much data they only spare less.
+FILTER_BITS = 1 << 20
 MASK = (1 << 64) - 1
-LINES = "doc_id long, th long, line_no int, h1 long, h2 long, n int, keys array<long>"
-VARIANTS = "doc_id long, th long, line_no int, h1 long, h2 long, pos int, v1 long, v2 long"
-ORDER = ["doc_id", "th", "line_no"]
+LINES = "doc_id long, th long, line_no int, h1 long, h2 long, keys array<long>"
+WORDS = "doc_id long, th long, line_no int, h1 long, h2 long, words string"
+VARIANTS = "own decimal(38,0), h1 long, h2 long, pos int, v1 long, v2 long"
+
+
+def own() -> Column:
+    """A line's place in the order (doc_id, text hash, line number) as one number; null ids come first."""
+    doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    rest = F.pmod("th", F.lit(10**8)) * 10**10 + F.col("line_no")
+    return (doc.cast("decimal(38,0)") * F.lit(str(10**18)).cast("decimal(19,0)")).cast("decimal(38,0)") + rest.cast("decimal(19,0)")
+
+
+def bit(*cols: str) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(FILTER_BITS))
 
 
 def _signed(x: int) -> int:
@@ -51,11 +64,19 @@ def hash_pair(words: list[str]) -> tuple[int, int]:
     return _signed(x >> 64), _signed(x & MASK)
 
 
+def _half(n: int) -> int:
+    """Words of a half key of a line of n words: never more than half, in steps of 4 where there are many."""
+    h = n // 2
+    return h if h < 8 else h - h % 4
+
+
 def half_keys(words: list[str]) -> list[int]:
-    """Keys of which two lines one edit apart share at least one."""
-    h = len(words) // 2
-    parts = [("a", words[:h]), ("a", words[: h - 1]), ("z", words[len(words) - h :]), ("z", words[len(words) - h + 1 :])]
-    return [_signed(xxhash.xxh3_64_intdigest(side + " ".join(p))) for side, p in parts]
+    """Keys of which two lines one edit apart share at least one: ends as long as for this length and one less."""
+    n = len(words)
+    out = []
+    for k in {_half(n), _half(n - 1)}:
+        out += [_signed(xxhash.xxh3_64_intdigest(side + " ".join(p))) for side, p in (("a", words[:k]), ("z", words[n - k :]))]
+    return out
 
 
 def one_edit(a: list[str], b: list[str]) -> bool:
@@ -70,7 +91,7 @@ def one_edit(a: list[str], b: list[str]) -> bool:
 
 def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
     fields = [x.split(" ") for x in schema.split(", ")]
-    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "decimal(38,0)": pa.decimal128(38, 0), "array<long>": pa.list_(pa.int64())}
     columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
@@ -95,50 +116,49 @@ def split_lines(docs: DataFrame) -> DataFrame:
                 for doc_id, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
                     for k, line in enumerate(text.lower().split("\n")):
                         if words := line.split():
-                            keys = half_keys(words) if len(words) >= MIN_WORDS else None
-                            yield doc_id, th, k, *hash_pair(words), len(words), keys
+                            yield doc_id, th, k, *hash_pair(words), half_keys(words) if len(words) >= MIN_WORDS else None
 
         yield from _in_parts(rows(), LINES)
 
     return map_batches(docs.select("doc_id", "th", "text"), run, LINES)
 
 
-def variants_of(docs: DataFrame) -> DataFrame:
-    """Deletion variants of the lines named in ``wanted``; pos -1 is the line itself."""
+def words_where(docs: DataFrame, on: np.ndarray) -> DataFrame:
+    """The words of lines whose bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(on)  # FILTER_BITS flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
+            flags = shared.value
             for batch in batches:
-                for doc_id, th, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    lines = (text or "").lower().split("\n")
-                    for k in wanted:
-                        words = lines[k].split()
-                        h = hash_pair(words)
-                        yield doc_id, th, k, *h, -1, *h
-                        for i in range(len(words)):
-                            yield doc_id, th, k, *h, i, *hash_pair(words[:i] + words[i + 1 :])
+                for doc_id, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+                    for k, line in enumerate(text.lower().split("\n")):
+                        words = line.split()
+                        if len(words) >= MIN_WORDS:
+                            h = hash_pair(words)
+                            if flags[h[0] % FILTER_BITS]:
+                                yield doc_id, th, k, *h, " ".join(words)
 
-        yield from _in_parts(rows(), VARIANTS)
+        yield from _in_parts(rows(), WORDS)
 
-    return map_batches(docs.select("doc_id", "th", "text", "wanted"), run, VARIANTS)
+    return map_batches(docs.select("doc_id", "th", "text"), run, WORDS)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """The words of the lines named in ``wanted``."""
-    schema = "h1 long, h2 long, words string"
+def variants_of(lines: DataFrame) -> DataFrame:
+    """Lines (pos -1) and their variants with the word at pos left out, by 128-bit keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for _, _, text, wanted in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    lines = (text or "").lower().split("\n")
-                    for k in wanted:
-                        words = lines[k].split()
-                        yield *hash_pair(words), " ".join(words)
+                for place, h1, h2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    words = text.split(" ")
+                    yield place, h1, h2, -1, h1, h2
+                    for i in range(len(words)):
+                        yield place, h1, h2, i, *hash_pair(words[:i] + words[i + 1 :])
 
-        yield from _in_parts(rows(), schema)
+        yield from _in_parts(rows(), VARIANTS)
 
-    return map_batches(docs.select("doc_id", "th", "text", "wanted"), run, schema)
+    return map_batches(lines.select("own", "h1", "h2", "words"), run, VARIANTS)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -153,33 +173,33 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return map_batches(pairs.select("h1", "h2", "words", "other"), run, "h1 long, h2 long")
 
 
-def near_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """h1 and h2 of the distinct lines that have an earlier line one edit away."""
-    keyed = distinct.where(F.size("keys") > 0).select("h1", "h2", F.explode(F.array_distinct("keys")).alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    able = keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct()
-    firsts = distinct.join(able, ["h1", "h2"], "left_semi").select("first.*")
-    wanted = firsts.groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("wanted")).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "wanted")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).select("doc_id", "th", "text", "wanted")
-    texts = materialize(texts, "line-texts")
-
-    own = F.struct(*ORDER)
-    v = materialize(variants_of(texts).withColumn("own", own).drop(*ORDER), "line-variants")
-    by_key = v.groupBy("v1", "v2").agg(
+def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """h1 and h2 of the lines that have an earlier line one edit away."""
+    keyed = lines.where("keys is not null").select("h1", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
+    able = materialize(keyed.join(shared, "key", "left_semi").distinct().select("h1").distinct(), "able-lines")
+    on = np.zeros(FILTER_BITS, bool)
+    # at most FILTER_BITS numbers
+    on[able.select(F.pmod("h1", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    if not on.any():
+        return able.select("h1", F.col("h1").alias("h2")).limit(0)
+    found = words_where(docs, on).withColumn("own", own()).join(able, "h1", "left_semi")
+    able_lines = found.groupBy("h1", "h2").agg(F.min("own").alias("own"), F.first("words").alias("words"))
+    able_lines = materialize(able_lines, "line-words")
+
+    v = materialize(variants_of(able_lines), "line-variants")
+    met = v.groupBy("v1", "v2").agg(
         F.min(F.when(F.col("pos") < 0, F.col("own"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("own"))).alias("cut"),
         F.min("own").alias("a"), F.max("own").alias("b"),
     ).where("a < b").drop("a", "b")
-    by_place = v.where("pos >= 0").groupBy("v1", "v2", "pos").agg(F.min("own").alias("here"), F.max("own").alias("b")).where("here < b").drop("b")
-    met = v.join(by_key, ["v1", "v2"]).join(by_place, ["v1", "v2", "pos"], "left")
+    met = materialize(v.join(met, ["v1", "v2"]), "line-meetings")
+    by_place = met.where("pos >= 0").groupBy("v1", "v2", "pos").agg(F.min("own").alias("here"), F.max("own").alias("b")).where("here < b").drop("b")
+    met = met.join(by_place, ["v1", "v2", "pos"], "left")
     partner = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.least("whole", "here"))
     earlier = met.withColumn("partner", partner).where("partner < own")
     nearest = earlier.groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
-
-    named = distinct.select(F.col("first").alias("partner"), F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("partner_n"))
-    pairs = nearest.join(named, "partner").where(F.col("partner_n") >= MIN_WORDS)
-    words = materialize(lines_of(texts).dropDuplicates(["h1", "h2"]), "line-words")
-    others = words.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("words").alias("other"))
-    return _verified(pairs.join(words, ["h1", "h2"]).join(others, ["g1", "g2"]))
+    others = able_lines.select(F.col("own").alias("partner"), F.col("words").alias("other"))
+    return _verified(nearest.join(able_lines.select("h1", "h2", "words"), ["h1", "h2"]).join(others, "partner"))
 
 
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -198,26 +218,33 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     work = docs.drop("n_lines", "n_exact", "n_near")
     slim = work.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
     lines = materialize(split_lines(slim), "lines")
-    own = F.struct(*ORDER)
-    distinct = lines.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.max(own).alias("last"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    distinct = materialize(distinct, "distinct-lines")
-    near = materialize(near_lines(slim, distinct).distinct().withColumn("near", F.lit(True)), "near-lines")
+    placed = lines.select("doc_id", "th", "line_no", "h1", "h2", own().alias("own"))
+    groups = placed.groupBy("h1", "h2").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
+    near = materialize(near_lines(slim, lines).distinct().withColumn("near", F.lit(True)), "near-lines")
     # lines that stand once and have no partner need no decision
-    decided = distinct.join(near, ["h1", "h2"], "left").where("first < last or near").select("h1", "h2", "first", "near")
-    gone = lines.join(decided, ["h1", "h2"]).withColumn("exact", F.struct(*ORDER) != F.col("first")).where("exact or near")
+    decided = groups.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
+    gone = placed.join(decided, ["h1", "h2"]).withColumn("exact", F.col("own") != F.col("first")).where("exact or near")
     gone = gone.groupBy("doc_id", "th").agg(
-        F.collect_set("line_no").alias("__ld_gone"),
-        F.countDistinct(F.when(F.col("exact"), F.col("line_no"))).alias("__ld_exact"),
-        F.countDistinct(F.when(~F.col("exact"), F.col("line_no"))).alias("__ld_near"),
+        F.collect_set("line_no").alias("__ld_gone"), F.collect_set(F.when(F.col("exact"), F.col("line_no"))).alias("__ld_exact"),
     )
-    gone = gone.withColumnRenamed("doc_id", "__ld_doc").withColumnRenamed("th", "__ld_th")
-    same = F.col("doc_id").eqNullSafe(F.col("__ld_doc")) & (F.xxhash64(text_or_empty()) == F.col("__ld_th"))
-    out = work.join(gone, same, "left")
-    return out.select(
+    gone = materialize(gone.select(F.col("doc_id").alias("__ld_doc"), F.col("th").alias("__ld_th"), "__ld_gone", F.size("__ld_exact").alias("__ld_exact")), "gone-lines")
+
+    # documents that keep all lines need not meet the others: at most FILTER_BITS marks tell most of them
+    marks = F.broadcast(gone.select(bit("__ld_doc", "__ld_th").alias("__ld_bit")).distinct())
+    keyed = work.withColumn("__ld_key", F.xxhash64(text_or_empty()))
+    keyed = keyed.withColumn("__ld_at", bit("doc_id", "__ld_key"))
+    whole = keyed.join(marks, F.col("__ld_at") == F.col("__ld_bit"), "left_anti")
+    cut = keyed.join(marks, F.col("__ld_at") == F.col("__ld_bit"), "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col("__ld_doc")) & (F.col("__ld_key") == F.col("__ld_th"))
+    cut = cut.join(gone, same, "left")
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n_lines")
+    n_exact = F.coalesce("__ld_exact", F.lit(0))
+    cut = cut.select(
         *[(F.pandas_udf(_without, "string")(F.col("text"), F.col("__ld_gone")) if c == "text" else F.col(f"`{c}`")).alias(c) for c in work.columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n_lines"),
-        F.coalesce("__ld_exact", F.lit(0)).alias("n_exact"), F.coalesce("__ld_near", F.lit(0)).alias("n_near"),
+        n_lines, n_exact.alias("n_exact"), (F.coalesce(F.size("__ld_gone"), F.lit(0)) - n_exact).alias("n_near"),
     )
+    whole = whole.select(*[F.col(f"`{c}`") for c in work.columns], n_lines, F.lit(0).alias("n_exact"), F.lit(0).alias("n_near"))
+    return cut.union(whole)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
