@@ -19,13 +19,15 @@ from .operators.joins import column
 from .plans import similar as similar_plan
 from .plans.lower import Lowering, Scope
 from .plans.parser import parse
-from .plans.syntax import Name, Select, Statement, collections
+from .plans.syntax import Select, Statement, collections
 from .query import Query
 from .sources import exchange
 from .sources.store import Store, checked
 
 PROTECTED = ("id", "_version", "_createdAt", "_updatedAt")
 MOST_VIEWS = 8
+#: A column of a merge's input that lists the fields each document sets.
+SET_FIELDS = "__set"
 #: Labels of the types that DESCRIBE reports.
 LABELS = {"bool": "bool", "int": "entero", "float": "decimal", "text": "texto", "time": "texto", "list": "lista", "map": "mapa", "null": "vacio"}
 #: Kinds that a declared type admits.
@@ -409,8 +411,9 @@ class Engine:
                 for r in made:
                     if r.get(f) is not None:
                         r[f] = float(r[f])
-        new = self.spark.createDataFrame([tuple(r.get(f) for f in fields) for r in made], self._schema_of(fields, made))
-        self.merge(name, new, merge, None if not merge else {r["id"]: set(r) for r in made})
+        schema = self._schema_of(fields, made).add(SET_FIELDS, T.ArrayType(T.StringType()))
+        new = self.spark.createDataFrame([(*(r.get(f) for f in fields), list(r)) for r in made], schema)
+        self.merge(name, new, merge)
         return {"inserted": len(made)} if len(made) > 1 else self._public(self.get(name, made[0]["id"]).first().asDict())
 
     @staticmethod
@@ -423,17 +426,25 @@ class Engine:
         out = []
         for f in fields:
             v = next((r[f] for r in rows if r.get(f) is not None), "")
+            if all(r.get(f) is None for r in rows):
+                out.append(T.StructField(f, T.NullType()))
+                continue
             t = T.ArrayType(kinds.get(type(v[0]) if v else str, T.StringType())) if isinstance(v, list) else kinds.get(type(v), T.StringType())
             out.append(T.StructField(f, t))
         return T.StructType(out)
 
-    def merge(self, name: str, new: DataFrame, keep_old_fields: bool = True, given: dict[str, set] | None = None) -> None:
-        """Documents of ``new`` into a collection by id: one full outer join, whatever their number."""
+    def merge(self, name: str, new: DataFrame, keep_old_fields: bool = True) -> None:
+        """Documents of ``new`` into a collection by id: one full outer join, whatever their number.
+
+        Fields that a document of ``new`` does not set are kept or go; those
+        set are the ones SET_FIELDS lists, where there is such a column, else
+        the ones that are not null.
+        """
         if name not in self.collections() and (self.pending is None or name not in self.pending):
             self.store.create(name)
         old = self.read(name) if name in self.store.collections or (self.pending and name in self.pending) else None
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
-        fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in PROTECTED]
+        fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in (*PROTECTED, SET_FIELDS)]
         a, b = old.alias("a"), new.alias("b")
         both = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer")
         there, comes = F.col("a.id").isNotNull(), F.col("b.id").isNotNull()
@@ -443,9 +454,12 @@ class Engine:
             y = F.col(f"b.`{c}`") if c in new.columns else F.lit(None)
             if c in old.columns and c in new.columns:
                 x, y = self._common(old, new, c, x, y)
-                replaced = y if not keep_old_fields else F.when(y.isNotNull(), y).otherwise(x)
+                given = F.array_contains(f"b.{SET_FIELDS}", c) if SET_FIELDS in new.columns else y.isNotNull()
+                replaced = y if not keep_old_fields else F.when(given, y).otherwise(x)
             else:
                 replaced = x if (keep_old_fields and c in old.columns) else y
+                if c in new.columns and isinstance(new.schema[c].dataType, T.NullType):
+                    x, replaced = x.cast("string"), y.cast("string")
             out.append(F.when(comes, replaced).otherwise(x).alias(c))
         version = F.col("a._version")
         out += [
@@ -460,6 +474,10 @@ class Engine:
         s, t = old.schema[c].dataType, new.schema[c].dataType
         if s == t:
             return x, y
+        if isinstance(t, T.NullType):
+            return x, y.cast(s)
+        if values.kind_of(s) == values.kind_of(t) == "int":
+            return x.cast("long"), y.cast("long")
         if {values.kind_of(s), values.kind_of(t)} == {"int", "float"}:
             return x.cast("double"), y.cast("double")
         if isinstance(t, T.StringType) or isinstance(s, T.StringType):
@@ -495,7 +513,7 @@ class Engine:
         ids = self._affected(name, where, limit)
         n = ids.count()
         scope = Scope(df)
-        new = df.join(ids, "id", "left_semi").select("id", *[scope.value(v).col.alias(f) for f, v in sets.items()])
+        new = df.select("id", *[(F.lit(None) if (x := scope.value(v)).kind == "null" else x.col).alias(f) for f, v in sets.items()])
         mark = df.join(ids.withColumn("__hit", F.lit(True)), "id", "left")
         now = datetime.now(timezone.utc).isoformat(timespec="seconds")
         hit = F.coalesce("__hit", F.lit(False))
@@ -506,6 +524,8 @@ class Engine:
                 y = inner.value(sets[c]).col
                 if c in df.columns:
                     x, y = self._common(df, new, c, x, y)
+                else:
+                    x = x.cast(new.schema[c].dataType if not isinstance(new.schema[c].dataType, T.NullType) else "string")
                 out.append(F.when(hit, y).otherwise(x).alias(c))
             elif c == "_version":
                 out.append(F.when(hit, x + 1).otherwise(x).alias(c))
@@ -586,7 +606,3 @@ class Engine:
                 well = False
             rows.append((n, df.count(), e["version"], well))
         return self.spark.createDataFrame(rows, "coleccion string, documentos long, version long, bien boolean")
-
-
-def field(name: str) -> Name:
-    return Name(name)
