@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
@@ -22,6 +21,7 @@ from .plans.parser import parse
 from .plans.syntax import Select, Statement, collections
 from .query import Query
 from .sources import exchange
+from .sources.scratch import scratch
 from .sources.store import Store, checked
 
 PROTECTED = ("id", "_version", "_createdAt", "_updatedAt")
@@ -50,7 +50,7 @@ class Engine:
     @property
     def store(self) -> Store:
         if self._store is None:
-            self._store = Store(self.spark, self._root or tempfile.mkdtemp(prefix="tesserae-store-"))
+            self._store = Store(self.spark, self._root or scratch(self.spark))
         return self._store
 
     # collections
@@ -324,7 +324,7 @@ class Engine:
             self._unique(df, entry["uniques"])
         staged = {n: self.store.stage(n, df) for n, df in changed.items()}
         if self.pending is not None:
-            self.pending |= {n: self.spark.read.parquet(p) for n, p in staged.items()}
+            self.pending |= {n: self.store.staged(n, p) for n, p in staged.items()}
             self._paths |= staged
         else:
             self.store.commit(staged)

@@ -7,13 +7,12 @@ division by zero.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
 from ..functions.embed import HashEmbedder
+from ..sources.scratch import scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
 QUERIES: dict = {}
@@ -283,18 +282,13 @@ def _representative(spark, d):
 
 
 def _managed(spark, d) -> Engine:
-    e = Engine(spark, tempfile.mkdtemp(prefix="tesserae-", dir=_shared(spark)))
+    e = Engine(spark, scratch(spark))
     nation = spark.read.parquet(f"{d}/nation.parquet")
     e.store.create("nation")
     e.merge("nation", nation.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"), "n_name", F.col("n_regionkey").cast("long").alias("n_regionkey")), False)
     return e
 
 
-def _shared(spark) -> str | None:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root.removeprefix("file://") if root and root.startswith(("file:", "/")) else None
-
-
 _NATION = "(SELECT lpad(CAST(n_nationkey AS VARCHAR), 2, '0') AS id, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation)"
 
 
@@ -351,7 +345,7 @@ def _violation(spark, d):
 
 @_query("schema_default", "SELECT 'a' AS id, 'none' AS kind")
 def _schema(spark, d):
-    e = Engine(spark, tempfile.mkdtemp(prefix="tesserae-", dir=_shared(spark)))
+    e = Engine(spark, scratch(spark))
     e.define_schema("things", {"kind": {"tipo": "texto", "defecto": "none"}})
     e.insert("things", {"id": "a", "n": 1})
     return e.query("SELECT id, kind FROM things")
@@ -384,7 +378,7 @@ def _show_indexes(spark, d):
 def _round_trip(kind: str):
     def run(spark, d):
         e = _managed(spark, d)
-        path = tempfile.mkdtemp(prefix="tesserae-", dir=_shared(spark)) + f"/out.{kind}"
+        path = scratch(spark) + f"/out.{kind}"
         e.export("nation", path)
         e.import_("copy", path)
         return e.query("SELECT CONCAT(id) AS id, n_name, n_regionkey FROM copy")
@@ -399,7 +393,7 @@ QUERIES["export_import_csv"], SQL["export_import_csv"] = _round_trip("csv"), f"S
 @_query("backup_restore", f"SELECT * FROM {_NATION}")
 def _backup(spark, d):
     e = _managed(spark, d)
-    path = tempfile.mkdtemp(prefix="tesserae-", dir=_shared(spark))
+    path = scratch(spark)
     e.store.backup(path)
     e.sql("DELETE FROM nation")
     e.store.restore(path)
