@@ -75,24 +75,29 @@ def index_vector(token: str) -> np.ndarray:
 class Vectors:
     """Word vectors of the sample's tokens; the first rows stand for tokens it lacks."""
 
-    def __init__(self, bags: list[list[str]]) -> None:
-        held: dict[str, int] = {}
+    def __init__(self, texts: list[str]) -> None:
+        first: dict[str, int] = {}
+        bags = [np.array([first.setdefault(w, len(first)) for w in tokens_of(t)], np.int32) for t in texts]
+        held = np.zeros(len(first), np.int64)
         for bag in bags:
-            for w in set(bag):
-                held[w] = held.get(w, 0) + 1
-        names = [NEW_WORD, NEW_MARK, *sorted(w for w, n in held.items() if n >= LEAST_DOCS)]
+            held[np.unique(bag)] += 1
+        tokens = list(first)
+        kept = sorted(np.flatnonzero(held >= LEAST_DOCS).tolist(), key=tokens.__getitem__)
+        names = [NEW_WORD, NEW_MARK, *(tokens[i] for i in kept)]
         self.number = {w: i for i, w in enumerate(names)}
-        index = np.stack([index_vector(w) for w in names])
-        total = index.copy()
-        for bag in bags:
-            ids = self.ids(bag)
+        final = np.array([int(not w[0].isalnum()) for w in tokens], np.int32)
+        final[kept] = np.arange(2, len(names))
+        self.bags = [final[b] for b in bags]  # of the sample, for fitting only
+        index = np.stack([index_vector(w) for w in names]).astype(np.float32)
+        total, n = index.copy(), len(names)
+        for ids in self.bags:
+            wide = ids.astype(np.int64)
             for k in range(1, REACH + 1):
                 if len(ids) > k:
-                    a, b = ids[:-k], ids[k:]
-                    n = len(names)
-                    pairs, times = np.unique(a * n + b, return_counts=True)
-                    np.add.at(total, pairs // n, index[pairs % n] * times[:, None])
-                    np.add.at(total, pairs % n, index[pairs // n] * times[:, None])
+                    pairs, times = np.unique(wide[:-k] * n + wide[k:], return_counts=True)
+                    a, b, t = pairs // n, pairs % n, times[:, None].astype(np.float32)
+                    np.add.at(total, a, index[b] * t)
+                    np.add.at(total, b, index[a] * t)
         total = np.sign(total) * np.log1p(np.abs(total)) + index
         self.table = (total / np.linalg.norm(total, axis=1, keepdims=True)).astype(np.float32)
 
@@ -100,8 +105,7 @@ class Vectors:
         get = self.number.get
         return np.array([i if (i := get(w)) is not None else int(not w[0].isalnum()) for w in bag], np.int64)
 
-    def pooled(self, text: str) -> np.ndarray:
-        ids = self.ids(tokens_of(text))
+    def pooled(self, ids: np.ndarray) -> np.ndarray:
         if not len(ids):
             return np.zeros(2 * DIMS)
         there, times = np.unique(ids, return_counts=True)
@@ -121,7 +125,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        z = self.log_odds(np.stack([self.vectors.pooled(t) for t in texts])) / self.temperature
+        z = self.log_odds(np.stack([self.vectors.pooled(self.vectors.ids(tokens_of(t))) for t in texts])) / self.temperature
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
@@ -144,8 +148,9 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     if len(set(y)) < 2:
         return Constant(float(y[0]) if y else 0.5)
     rng = np.random.default_rng(seed)
-    vectors = Vectors([tokens_of(t) for t in texts])
-    x, label = np.stack([vectors.pooled(t) for t in texts]), np.array(y, float)
+    vectors = Vectors(texts)
+    x, label = np.stack([vectors.pooled(b) for b in vectors.bags]), np.array(y, float)
+    vectors.bags = []
     centre, scale = x.mean(0), x.std(0) + 1e-3
     order = rng.permutation(len(x))
     kept, learn = np.split(order, [int(CALIBRATE * len(x))])

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,17 +112,21 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
         return Constant(float(y[0]) if y else 0.5)
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
-    bags = [np.array([number.setdefault(w, len(number)) for w in words_of(t.lower())] or [number.setdefault("", len(number))]) for t in texts]
-    grams = [np.array(grams_of(w)) for w in number]
-    sizes = np.array([len(g) for g in grams])
-    gram, owner = np.concatenate(grams), np.repeat(np.arange(len(grams)), sizes)
+    bags = [np.array([number.setdefault(w, len(number)) for w in words_of(t.lower())] or [number.setdefault("", len(number))], np.int32) for t in texts]
+    flat, ends = array("i"), array("q", [0])
+    for w in number:
+        flat.extend(grams_of(w))
+        ends.append(len(flat))
+    gram, ends = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64)
+    sizes = np.diff(ends)
+    n_words, owner = len(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     label = np.array(y)
     share = np.array([1 - label.mean(), label.mean()])
 
     # start: how much likelier a text with this n-gram is toxic, rare n-grams drawn towards no evidence
     held = np.zeros((2, BUCKETS))
     for bag, k in zip(bags, label, strict=True):
-        held[k, np.unique(np.concatenate([grams[w] for w in np.unique(bag)]))] += 1
+        held[k, np.unique(np.concatenate([gram[ends[w] : ends[w + 1]] for w in np.unique(bag)]))] += 1
     odds = np.log((held[1] + PRIOR * share[1]) / share[1]) - np.log((held[0] + PRIOR * share[0]) / share[0])
     emb = rng.normal(0, 0.01, (BUCKETS, DIMS))
     emb[:, 0] = odds
@@ -133,7 +138,7 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     def train(chosen: list[np.ndarray]) -> None:
         word, bag = np.concatenate(chosen), np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
         there, word = np.unique(word, return_inverse=True)
-        place = np.full(len(grams), -1)
+        place = np.full(n_words, -1, np.int32)
         place[there] = np.arange(len(there))
         mine = place[owner] >= 0
         g, o = gram[mine], place[owner[mine]]
@@ -153,7 +158,7 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
 
     for _ in range(ROUNDS):
         emb, soft, _ = params
-        of_word = np.bincount(owner, (emb @ (soft[:, 1] - soft[:, 0]))[gram], len(grams)) / sizes
+        of_word = np.bincount(owner, (emb @ (soft[:, 1] - soft[:, 0]))[gram], n_words) / sizes
         chosen = []
         for b in bags:
             starts, ends = windows(len(b))
