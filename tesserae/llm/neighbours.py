@@ -140,14 +140,14 @@ def search_cell(index: Index, part: int, codes: np.ndarray, x: np.ndarray, ids:
 
 
 def valid_vectors(df: DataFrame, id_col: str, vec_col: str, dims: int | None = None) -> DataFrame:
-    """vec_id and vec of the rows that take part; dims: that of the first row in id order where not given."""
+    """vec_id and vec of the rows that take part; dims: the most common length (of equals the larger) where not given."""
     v = F.col(vec_col)
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), v.cast("array<float>").alias("vec")).where("vec_id is not null")
     finite = "forall(vec, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vec, x -> x <> 0)"
     rows = rows.where(F.col("vec").isNotNull() & (F.size("vec") > 0)).where(finite)
     if dims is None:
-        first = rows.agg(F.min(F.struct("vec_id", F.size("vec").alias("n"))).alias("m")).first()["m"]
-        dims = first["n"] if first else 0
+        common = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+        dims = common["n"] if common else 0
     return rows.where(F.size("vec") == dims)
 
 
