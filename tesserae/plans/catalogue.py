@@ -478,3 +478,36 @@ def _hybrid(spark, d):
 def _explain(spark, d):
     said = engine(spark, d).sql("EXPLAIN SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
     return spark.createDataFrame([("PushedFilters" in said["plan"],)], "planned boolean")
+
+
+# documents under encryption, streams, requests and audits
+
+
+@_query("sealed_scan", "SELECT id, n_name FROM " + _NATION)
+def _sealed(spark, d):
+    from ..sources.sealed import seal, unseal
+
+    df = spark.read.parquet(f"{d}/nation.parquet").select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"), "n_name")
+    key = bytes(range(32))
+    return unseal(seal(df, "nation", key), "nation", key, "id string, n_name string")
+
+
+@_query("stream_ingest", "SELECT id, n_name FROM " + _NATION)
+def _stream(spark, d):
+    from ..streaming.ingest import ingest
+
+    e = Engine(spark, scratch(spark))
+    schema = spark.read.parquet(f"{d}/nation.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "nation.parquet").parquet(d)
+    stream = stream.select(F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("id"), "n_name")
+    ingest(e, stream, "nation", scratch(spark)).awaitTermination()
+    return e.query("SELECT id, n_name FROM nation")
+
+
+@_query("request_find", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey > 2 ORDER BY n_nationkey LIMIT 4")
+def _request(spark, d):
+    from ..agents import request
+
+    body = {"accion": "find", "coleccion": "nation", "donde": [["n_regionkey", ">", 2]], "orden": [["n_nationkey"]], "limite": 4, "campos": ["n_nationkey", "n_name"]}
+    rows = request(engine(spark, d), body)["result"]
+    return spark.createDataFrame([(r["n_nationkey"], r["n_name"]) for r in rows], "n_nationkey int, n_name string")

@@ -119,7 +119,7 @@ def test_document_sources(spark, tmp_path):
     folder.mkdir()
     (folder / "a.json").write_text('{"id": "a",\n "v": 1}')
     (folder / "b.json").write_text('{"id": "other", "v": 2}')
-    (folder / "_axi.json").write_text('{"id": "_axi"}')
+    (folder / "_meta.json").write_text('{"id": "_meta"}')
     assert [r["id"] for r in document_folder(spark, str(folder)).collect()] == ["a"]
     log = tmp_path / "log.json"
     log.write_text('{"n":1,"op":"put","id":"a","doc":{"id":"a","v":1}}\n{"n":2,"op":"put","id":"a","doc":{"id":"a","v":2}}\n{"n":3,"op":"put","id":"b","doc":{"id":"b","v":1}}\n{"n":4,"op":"del","id":"b"}\n')
