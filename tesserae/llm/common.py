@@ -73,3 +73,21 @@ def text_or_empty(name: str = "text"):
 
 def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: A key is hot if its rows exceed this part of a shuffle partition's even share.
+HOT_SHARE = 1 / 8
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join on keys that are unique in right, whose column n counts left's rows of each.
+
+    Hot keys are joined by broadcast where left's rows are; there are fewer
+    than partitions / HOT_SHARE of them, whatever the data. The rest is
+    shuffled. right is read several times: give a written table.
+    """
+    total = right.agg(F.sum(n)).first()[0] or 0
+    most = HOT_SHARE * total / shuffle_width(left.sparkSession)
+    hot = F.broadcast(right.where(F.col(n) > most))
+    rest = left.join(hot.select(keys), keys, "left_anti").join(right.where(F.col(n) <= most), keys)
+    return left.join(hot, keys).unionByName(rest)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, map_batches, materialize, text_or_empty, texts_of
+from .common import bounded_batches, documents, join_skewed, map_batches, materialize, text_or_empty, texts_of
 
 #: Least words of both lines of a near-duplicate pair.
 MIN_WORDS = 5
@@ -222,8 +222,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     groups = placed.groupBy("h1", "h2").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
     near = materialize(near_lines(slim, lines).distinct().withColumn("near", F.lit(True)), "near-lines")
     # lines that stand once and have no partner need no decision
-    decided = groups.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near")
-    gone = placed.join(decided, ["h1", "h2"]).withColumn("exact", F.col("own") != F.col("first")).where("exact or near")
+    decided = groups.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near", "n")
+    gone = join_skewed(placed, materialize(decided, "line-decisions"), ["h1", "h2"], "n").withColumn("exact", F.col("own") != F.col("first")).where("exact or near")
     gone = gone.groupBy("doc_id", "th").agg(
         F.collect_set("line_no").alias("__ld_gone"), F.collect_set(F.when(F.col("exact"), F.col("line_no"))).alias("__ld_exact"),
     )
