@@ -6,7 +6,8 @@ linear softmax over the average gives the classes. Table and softmax are trained
 jointly in numpy by gradient descent with momentum, from a start that counts
 the documents of each class which hold an n-gram. A document is toxic if one
 of its passages is: training takes each document's most toxic passage, chosen
-anew in each round. Every passage of a whole text
+anew in each round; a last step fits the slope and shift of the log-odds to
+both classes. Every passage of a whole text
 is scored (windows of WIDTH words, half overlapping) and the largest counts.
 As the model is linear in the average, a word adds one number to the log-odds,
 kept in a bounded table of words; unseen spellings get theirs from n-grams.
@@ -34,13 +35,15 @@ from .labelled import FIT_DOCS, fold, sample
 BUCKETS, DIMS = 1 << 16, 8
 GRAMS = (3, 4, 5, 6)
 #: Words of a passage; a shorter text is averaged as if filled up with words of no evidence.
-WIDTH = 8
+WIDTH = 4
 #: Gradient steps on the chosen passages, and rounds of choosing.
 STEPS, ROUNDS = 60, 5
 #: Rates for the table, the softmax and its bias; decay of the table.
 RATES, DECAY = (10.0, 0.3, 0.3), 1e-6
 #: Weight of a toxic document against another.
 TOXIC_WEIGHT = 3.0
+#: Least and most factor by which calibration may change the log-odds.
+SLOPES = (0.5, 3.0)
 #: Documents without evidence that each n-gram's start counts besides.
 PRIOR = 10.0
 #: Words remembered by a worker.
@@ -156,17 +159,39 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
                 speed[k] = 0.9 * speed[k] - RATES[k] * grad
                 params[k] = params[k] + speed[k]
 
-    for _ in range(ROUNDS):
+    def tops() -> tuple[list[np.ndarray], np.ndarray]:
+        """Each document's most toxic passage and what its words add to the log-odds."""
         emb, soft, _ = params
         of_word = np.bincount(owner, (emb @ (soft[:, 1] - soft[:, 0]))[gram], n_words) / sizes
-        chosen = []
+        chosen, odds = [], []
         for b in bags:
             starts, ends = windows(len(b))
             sums = np.append(0.0, np.cumsum(of_word[b]))
             k = int(np.argmax(sums[ends] - sums[starts]))
             chosen.append(b[starts[k] : ends[k]])
-        train(chosen)
-    return Model(*params)
+            odds.append(float(sums[ends[k]] - sums[starts[k]]) / WIDTH)
+        return chosen, np.array(odds)
+
+    for _ in range(ROUNDS):
+        train(tops()[0])
+    emb, soft, _ = params
+    slope, shift = calibrated(tops()[1], label)
+    return Model(emb, soft * slope, np.array([0.0, shift]))
+
+
+def calibrated(odds: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Slope (within SLOPES) and shift of log-odds that fit both classes, each of equal weight in all."""
+    weight = np.where(label == 1, 0.5 / label.sum(), 0.5 / (1 - label).sum())
+    best = (np.inf, 1.0, 0.0)
+    for slope in np.linspace(*SLOPES, 16):
+        shift = 0.0
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(slope * odds + shift, -50, 50)))
+            shift -= float(np.clip((weight @ (p - label)) / max(weight @ (p * (1 - p)), 1e-4), -2, 2))
+        z = slope * odds + shift
+        loss = float(weight @ np.logaddexp(0, np.where(label == 1, -z, z)))
+        best = min(best, (loss, float(slope), shift))
+    return best[1:]
 
 
 def score_texts(docs: DataFrame, model: Model | Constant) -> DataFrame:
