@@ -195,9 +195,21 @@ def like(a: Value, pattern: object) -> Column:
     """Case-insensitive; % and _ only; one character is never a line break."""
     if a.kind != "text" or not isinstance(pattern, str):
         return F.lit(False)
-    parts = re.split(r"(%+|_)", pattern)
-    body = "".join("" if not p else ".*" if p[0] == "%" else "." if p == "_" else re.escape(p).replace(r"\ ", " ") for p in parts)
-    return yes(a.col.rlike(rf"(?iu)^{body}\z"))
+    return yes(a.col.rlike(like_regex(pattern)))
+
+
+def like_regex(pattern: str) -> str:
+    """A pattern that never backtracks over a piece found before: the first place of each inner piece will do."""
+
+    def piece(s: str) -> str:
+        return "".join("." if c == "_" else re.escape(c) if not c.isspace() else c for c in s)
+
+    first, *rest = map(piece, re.split("%+", pattern))
+    if not rest:
+        return rf"(?iu)^{first}\z"
+    *inner, last = rest
+    found = "".join(f"(?>.*?{p})" for p in inner) if "\n" not in pattern else "".join(f".*{p}" for p in inner)
+    return rf"(?iu)^{first}{found}.*{last}\z"
 
 
 def contains(a: Value, b: Value) -> Column:

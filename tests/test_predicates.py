@@ -122,3 +122,14 @@ def test_menu(spark, where, ids):
     got = [r["id"] for r in e.sql(f"SELECT id FROM p WHERE {where} ORDER BY id").collect()]
     assert got == ids.split()
     assert [r["id"] for r in e.find("p").where_expr(where).order_by("id").select("id").get()] == got
+
+
+def test_like_stays_fast(spark):
+    import time
+
+    e = Engine(spark).register("x", spark.createDataFrame([(1, "a" * 5000 + "b"), (2, "a" * 30 + "c")], "k long, t string"))
+    begin = time.time()
+    pattern = "%a" * 25 + "%c"
+    assert [r["k"] for r in e.find("x").where("t", "LIKE", pattern).get()] == [2]
+    assert time.time() - begin < 20
+    assert e.find("x").where("t", "LIKE", "a%ab").count() == 1 and e.find("x").where("t", "LIKE", "a_%_c").count() == 1
