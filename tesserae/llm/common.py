@@ -32,6 +32,14 @@ def shared_dir(spark: SparkSession, tag: str) -> str:
     return f"{root.rstrip('/')}/tesserae/{tag}-{uuid.uuid4().hex}"
 
 
+def clear_shared(spark: SparkSession) -> None:
+    """Remove all tables in between below the shared folder; for the end of a job, when no result is still to be read."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tesserae")
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write once to the shared folder and read back: cuts lineage, keeps columns prunable."""
     path = shared_dir(df.sparkSession, tag)
