@@ -149,44 +149,44 @@ def _compare(a: Value, b: Value, how) -> Column:
     return out
 
 
-def less(a: Value, b: Value, or_equal: bool = False) -> Column:
-    if or_equal:
-        if a.kind == "null":
-            return F.lit(True)
-        if b.kind == "null":
-            return a.col.isNull()
-        return a.col.isNull() | yes(_compare(a, b, lambda x, y: x <= y))
-    if b.kind == "null":
-        return F.lit(False)
-    below = a.col.isNull() & b.col.isNotNull() if a.kind != "null" else b.col.isNotNull()
+def less(a: Value, b: Value, or_equal: bool = False, loose: bool = False) -> Column:
+    """a < b or a <= b, null lowest. loose: may be null for false, which a filter treats alike and a scan can push."""
+    sure = (lambda c: c) if loose else yes
+    missing = lambda v: F.lit(v.kind == "null") if v.constant else v.col.isNull()
     if a.kind == "null":
-        return below
-    return F.coalesce(_compare(a, b, lambda x, y: x < y), below)
+        return F.lit(True) if or_equal else ~missing(b)
+    if b.kind == "null":
+        return missing(a) if or_equal else F.lit(False)
+    how = (lambda x, y: x <= y) if or_equal else (lambda x, y: x < y)
+    found = sure(_compare(a, b, how))
+    if a.constant:
+        return found
+    return missing(a) | found if or_equal or b.constant else (missing(a) & ~missing(b)) | found
 
 
-def compare(op: str, a: Value, b: Value) -> Column:
+def compare(op: str, a: Value, b: Value, loose: bool = False) -> Column:
     match op:
         case "=":
             return equal(a, b)
         case "!=":
             return ~equal(a, b)
         case "<":
-            return less(a, b)
+            return less(a, b, False, loose)
         case "<=":
-            return less(a, b, True)
+            return less(a, b, True, loose)
         case ">":
-            return less(b, a)
+            return less(b, a, False, loose)
         case ">=":
-            return less(b, a, True)
+            return less(b, a, True, loose)
     raise EngineError(f"unknown operator {op}")
 
 
-def among(a: Value, items: list[Value]) -> Column:
+def among(a: Value, items: list[Value], loose: bool = False) -> Column:
     if not items:
         return F.lit(False)
     alike = lambda v: v.kind == a.kind and v.constant and a.kind in ("int", "text", "bool")
     plain = [v.literal for v in items if alike(v)]
-    tests = [yes(a.col.isin(plain))] if plain else []
+    tests = [a.col.isin(plain) if loose else yes(a.col.isin(plain))] if plain else []
     tests += [equal(a, v) for v in items if not alike(v)]
     return reduce(lambda x, y: x | y, tests)
 
@@ -221,10 +221,10 @@ def contains(a: Value, b: Value) -> Column:
     return yes(F.contains(hay, needle))
 
 
-def between(a: Value, low: Value, high: Value) -> Column:
+def between(a: Value, low: Value, high: Value, loose: bool = False) -> Column:
     if a.kind == "null":
         return F.lit(False)
-    return a.col.isNotNull() & less(low, a, True) & less(a, high, True)
+    return a.col.isNotNull() & less(low, a, True, loose) & less(a, high, True, loose)
 
 
 def arithmetic(op: str, a: Value, b: Value) -> Value:

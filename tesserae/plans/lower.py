@@ -103,12 +103,13 @@ class Lowering:
 
     # predicates
 
-    def condition(self, node, scope: Scope) -> Column:
+    def condition(self, node, scope: Scope, loose: bool = False) -> Column:
+        """A predicate as a column: never null, or with ``loose`` perhaps null for false, as a filter's parts may be."""
         match node:
             case Both(parts):
-                return reduce(lambda a, b: a & b, [self.condition(p, scope) for p in parts])
+                return reduce(lambda a, b: a & b, [self.condition(p, scope, loose) for p in parts])
             case Either(parts):
-                return reduce(lambda a, b: a | b, [self.condition(p, scope) for p in parts])
+                return reduce(lambda a, b: a | b, [self.condition(p, scope, loose) for p in parts])
             case Not(p):
                 return ~self.condition(p, scope)
             case Exists(s):
@@ -117,18 +118,18 @@ class Lowering:
             case Compare("in", left, Select() as s):
                 raise EngineError("a subquery can't stand here")
             case Compare("in", left, items):
-                return values.among(scope.value(left), [scope.value(i) for i in items])
+                return values.among(scope.value(left), [scope.value(i) for i in items], loose)
             case Compare("like", left, right):
                 return values.like(scope.value(left), right.value)
             case Compare("contains", left, right):
                 return values.contains(scope.value(left), scope.value(right))
             case Compare("between", left, (low, high)):
-                return values.between(scope.value(left), scope.value(low), scope.value(high))
+                return values.between(scope.value(left), scope.value(low), scope.value(high), loose)
             case Compare("null", left):
                 v = scope.value(left)
                 return F.lit(True) if v.kind == "null" else v.col.isNull()
             case Compare(op, left, right):
-                return values.compare(op, scope.value(left), scope.value(right))
+                return values.compare(op, scope.value(left), scope.value(right), loose)
         raise TypeError(node)
 
     def uncorrelated(self, s: Select) -> None:
@@ -170,7 +171,7 @@ class Lowering:
         changed = replaced(node)
         inner = Scope(df, scope.first, scope.aliases)
         inner.extra = dict(scope.extra)
-        out = df.where(self.condition(changed, inner))
+        out = df.where(self.condition(changed, inner, loose=True))
         found = Scope(out.drop(*marks), scope.first, scope.aliases)
         found.extra = scope.extra
         return found

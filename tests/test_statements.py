@@ -124,3 +124,13 @@ def test_similarity(spark):
     for bad in ("parecido > 0.1 OR id = 'a1'", "NOT parecido > 0.1", "parecido > 0.1 AND parecido < 0.9"):
         with pytest.raises(EngineError):
             e.sql(f"SELECT id FROM art WHERE {bad} ORDER BY EMBEDDING <-> 'x'")
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    e = Engine(spark).register_folder("/root/testdata/sf0.001", "orders")
+    said = e.sql("EXPLAIN SELECT o_orderkey FROM orders WHERE o_totalprice > 1000 AND o_orderdate <= '1997-01-01' AND o_custkey IN (1, 2) AND (o_orderstatus = 'F' OR o_custkey BETWEEN 3 AND 5)")["plan"]
+    pushed = next(x for x in said.splitlines() if "PushedFilters" in x)
+    for part in ("GreaterThan(o_totalprice", "LessThanOrEqual(o_orderdate", "In(o_custkey", "EqualNullSafe(o_orderstatus"):
+        assert part in pushed, pushed
+    schema = next(x for x in said.splitlines() if "ReadSchema" in x)
+    assert "o_orderpriority" not in schema
