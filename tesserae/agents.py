@@ -1,4 +1,4 @@
-"""Bounded access for programs: profiles, sandboxed agents with an audit trail, and a request dispatcher."""
+"""Bounded access for programs: sandboxed agents with an audit trail, and a request dispatcher."""
 
 from __future__ import annotations
 
@@ -14,12 +14,6 @@ from .engine import Engine
 from .errors import EngineError
 from .plans.parser import parse
 
-#: What each profile can do.
-PROFILES = {
-    "core": {"crud", "query"},
-    "docs": {"crud", "query", "sql", "joins", "backup", "exchange"},
-    "ai": {"crud", "query", "sql", "joins", "backup", "exchange", "vectors", "agents"},
-}
 #: The kind of access that a statement needs.
 ACCESS = {
     "select": "read", "describe": "read", "show collections": "read", "show indexes": "read", "insert": "write", "update": "write", "delete": "delete",
@@ -30,13 +24,6 @@ ACCESS = {
 MOST_BODY = 256 * 1024
 
 
-def require(profile: str, capability: str) -> None:
-    if profile not in PROFILES:
-        raise EngineError(f"unknown profile {profile}")
-    if capability not in PROFILES[profile]:
-        raise EngineError(f"the profile {profile} has no {capability}")
-
-
 class Audit:
     """An append-only folder of JSON records, one file each, that any Spark reader can query."""
 

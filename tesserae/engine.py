@@ -19,6 +19,7 @@ from .plans import similar as similar_plan
 from .plans.lower import Lowering, Scope
 from .plans.parser import parse
 from .plans.syntax import Select, Statement, collections
+from .profiles import require
 from .query import Query
 from .sources import exchange
 from .sources.scratch import scratch
@@ -39,18 +40,19 @@ ADMITS = {
 class Engine:
     """Collections are read-only DataFrames that were registered, or managed ones in a store folder."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, embedder: Embedder | None = None, guard: Callable[[str], None] | None = None) -> None:
+    def __init__(self, spark: SparkSession, root: str | None = None, embedder: Embedder | None = None, guard: Callable[[str], None] | None = None, profile: str = "ai", key: bytes | None = None) -> None:
         self.spark, self.embedder, self.guard = spark, embedder or HashEmbedder(), guard
         self.given: dict[str, DataFrame] = {}
         self.vectors: dict[str, dict] = {}
-        self._root, self._store = root, None
+        self._root, self._store, self._key, self.profile = root, None, key, profile
+        require(profile, "query")
         self.pending: dict[str, DataFrame] | None = None
         self._depth = 0
 
     @property
     def store(self) -> Store:
         if self._store is None:
-            self._store = Store(self.spark, self._root or scratch(self.spark))
+            self._store = Store(self.spark, self._root or scratch(self.spark), self._key)
         return self._store
 
     # collections
@@ -125,6 +127,7 @@ class Engine:
 
     def sql(self, statement: str):
         """A DataFrame for queries (an int for a bare COUNT(*)), a dict for anything else."""
+        require(self.profile, "sql")
         s = parse(statement)
         if s.explain:
             return self.explain(s)
@@ -198,11 +201,15 @@ class Engine:
 
     def enable_vectors(self, name: str, field: str | None = None, auto: tuple[str, ...] = (), dims: int | None = None, precision: str = "rapida", key: str = "id") -> Engine:
         """Where a collection's vectors come from: a field that holds them, or text fields that are embedded."""
+        require(self.profile, "vectors")
         similarity.candidates(precision, 1)
+        if self._managed and self.store.collections.get(name, {}).get("sealed"):
+            raise EngineError(f"{name} is encrypted; vectors would show its texts")
         self.vectors[name] = {"field": field, "auto": tuple(auto), "dims": dims or self.embedder.dims, "precision": precision, "key": key}
         return self
 
     def vector_rows(self, name: str, df: DataFrame | None = None) -> tuple[DataFrame, dict]:
+        require(self.profile, "vectors")
         if name not in self.vectors:
             raise EngineError(f"{name} has no vectors; enable them first")
         how = self.vectors[name]
@@ -588,6 +595,23 @@ class Engine:
     def compact(self, name: str, files: int = 1) -> None:
         self._write({name: self.read(name).repartition(files)})
 
+    def migrate(self, name: str, kind: str) -> None:
+        """Store a collection as parquet or json from now on."""
+        if kind not in ("parquet", "json"):
+            raise EngineError(f"{kind} is no format of the store")
+        self.store.change(name, format=kind)
+
+    def encrypt(self, name: str) -> None:
+        """Seal a collection's documents under the engine's key from now on."""
+        if name in self.vectors:
+            raise EngineError(f"{name} has vectors, which would show its texts")
+        self.store.change(name, sealed=True, format="parquet")
+
+    def stats(self) -> DataFrame:
+        """Documents, format and encryption of each managed collection."""
+        rows = [(n, self.count(n), e.get("format", "parquet"), bool(e.get("sealed"))) for n, e in sorted(self.store.collections.items())]
+        return self.spark.createDataFrame(rows, "coleccion string, documentos long, formato string, cifrada boolean")
+
     def sweep(self, name: str) -> int:
         """Drop expired documents for good; gives their number."""
         before = self.store.read(name).count()

@@ -10,6 +10,7 @@ from .errors import EngineError
 from .plans.lower import Scope
 from .plans.parser import parse
 from .plans.syntax import Both, Compare, Join, Lit, Name, Not, Select
+from .profiles import require
 
 UNARY = {"IS NULL": False, "IS NOT NULL": True}
 
@@ -62,6 +63,7 @@ class Query:
         return self._with(where=node if self.spec.where is None else Both((self.spec.where, node)))
 
     def join(self, collection: str, here: str, there: str, left: bool = False) -> Query:
+        require(self.engine.profile, "joins")
         j = Join(collection, collection, here, f"{collection}.{there}", left)
         return self._with(joins=[*self.spec.joins, j])
 

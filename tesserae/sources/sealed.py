@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ID = "id"
 
@@ -19,7 +20,7 @@ def seal(df: DataFrame, name: str, key: bytes) -> DataFrame:
     return df.select(ID, F.aes_encrypt(body, F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), nonce, _bound(name)).alias("box"))
 
 
-def unseal(boxes: DataFrame, name: str, key: bytes, schema: str) -> DataFrame:
+def unseal(boxes: DataFrame, name: str, key: bytes, schema: str | StructType) -> DataFrame:
     """The documents; a wrong key, or a box of another document or collection, gives no row."""
     body = F.try_aes_decrypt(F.col("box"), F.lit(key), F.lit("GCM"), F.lit("DEFAULT"), _bound(name)).cast("string")
     return boxes.select(F.from_json(body, schema).alias("d")).where("d is not null").select("d.*")

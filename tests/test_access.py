@@ -5,6 +5,7 @@ import pytest
 from tesserae import agents
 from tesserae.engine import Engine
 from tesserae.errors import EngineError
+from tesserae.profiles import require
 from tesserae.sources.sealed import seal, unseal
 from tesserae.streaming.ingest import ingest
 from tests import fixtures
@@ -38,10 +39,10 @@ def test_requests(spark, tmp_path):
 
 
 def test_profiles():
-    agents.require("ai", "vectors")
+    require("ai", "vectors")
     for bad in (("core", "sql"), ("none", "sql")):
         with pytest.raises(EngineError):
-            agents.require(*bad)
+            require(*bad)
 
 
 def test_sealed(spark):
@@ -53,6 +54,36 @@ def test_sealed(spark):
     assert unseal(boxes, "p", b"f" * 32, "id string, v long, t string").count() == 0
 
 
+def test_formats_and_encryption(spark, tmp_path):
+    key = bytes(range(32))
+    e = Engine(spark, str(tmp_path / "db"), key=key)
+    e.sql("INSERT INTO p (id, v, t) VALUES ('a', 1, 'secret words'), ('b', 2, NULL)")
+    want = {("a", 1, "secret words"), ("b", 2, None)}
+    seen = lambda x: {(r["id"], r["v"], r["t"]) for r in x.read("p").collect()}
+    e.migrate("p", "json")
+    assert seen(e) == want and dict(e.read("p").dtypes)["v"] == "bigint"
+    e.encrypt("p")
+    e.sql("UPDATE p SET v = v + 1 WHERE id = 'b'")
+    want = {("a", 1, "secret words"), ("b", 3, None)}
+    assert seen(e) == want and seen(Engine(spark, str(tmp_path / "db"), key=key)) == want
+    for f in (tmp_path / "db" / "p").rglob("*.parquet"):
+        assert b"secret" not in f.read_bytes() or f.parent.name != e.store.collections["p"]["snapshot"]
+    assert Engine(spark, str(tmp_path / "db"), key=bytes(32)).count("p") == 0
+    for bad in (lambda: Engine(spark, str(tmp_path / "db")).read("p"), lambda: e.enable_vectors("p", auto=("t",)), lambda: e.migrate("p", "xml")):
+        with pytest.raises(EngineError):
+            bad()
+    assert [tuple(r) for r in e.stats().collect()] == [("p", 2, "parquet", True)]
+
+
+def test_profile_of_an_engine(spark):
+    e = Engine(spark, profile="core")
+    e.given = fixtures.engine(spark).given
+    assert e.find("p").where("cat", "bebida").count() == 3
+    for bad in (lambda: e.sql("SELECT id FROM p"), lambda: e.find("p").join("ventas", "id", "id"), lambda: e.similar("p", "x")):
+        with pytest.raises(EngineError):
+            bad()
+
+
 def test_stream(spark, tmp_path):
     source = tmp_path / "in"
     spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)], "id string, v long, n long").write.parquet(str(source))
