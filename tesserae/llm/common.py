@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch: bounds a Python worker's memory when texts are long.
 BATCH_ROWS = 2048
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:

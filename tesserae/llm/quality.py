@@ -88,7 +88,9 @@ class Vectors:
         final = np.array([int(not w[0].isalnum()) for w in tokens], np.int32)
         final[kept] = np.arange(2, len(names))
         self.bags = [final[b] for b in bags]  # of the sample, for fitting only
-        index = np.stack([index_vector(w) for w in names]).astype(np.float32)
+        index = np.empty((len(names), DIMS), np.float32)
+        for i, w in enumerate(names):
+            index[i] = index_vector(w)
         total, n = index.copy(), len(names)
         for ids in self.bags:
             wide = ids.astype(np.int64)

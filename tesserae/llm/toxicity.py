@@ -47,7 +47,7 @@ SLOPES = (0.5, 3.0)
 #: Documents without evidence that each n-gram's start counts besides.
 PRIOR = 10.0
 #: Words remembered by a worker.
-REMEMBER = 300_000
+REMEMBER = 150_000
 THRESHOLD = 0.7
 SEED = 11
 
@@ -116,20 +116,19 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
     bags = [np.array([number.setdefault(w, len(number)) for w in words_of(t.lower())] or [number.setdefault("", len(number))], np.int32) for t in texts]
-    flat, ends = array("i"), array("q", [0])
+    flat, bounds = array("i"), array("q", [0])
     for w in number:
         flat.extend(grams_of(w))
-        ends.append(len(flat))
-    gram, ends = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64)
-    sizes = np.diff(ends)
-    n_words, owner = len(sizes), np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        bounds.append(len(flat))
+    gram, bounds = np.frombuffer(flat, np.int32), np.frombuffer(bounds, np.int64)
+    sizes = np.diff(bounds)
     label = np.array(y)
     share = np.array([1 - label.mean(), label.mean()])
 
     # start: how much likelier a text with this n-gram is toxic, rare n-grams drawn towards no evidence
     held = np.zeros((2, BUCKETS))
     for bag, k in zip(bags, label, strict=True):
-        held[k, np.unique(np.concatenate([gram[ends[w] : ends[w + 1]] for w in np.unique(bag)]))] += 1
+        held[k, np.unique(np.concatenate([gram[bounds[w] : bounds[w + 1]] for w in np.unique(bag)]))] += 1
     odds = np.log((held[1] + PRIOR * share[1]) / share[1]) - np.log((held[0] + PRIOR * share[0]) / share[0])
     emb = rng.normal(0, 0.01, (BUCKETS, DIMS))
     emb[:, 0] = odds
@@ -141,10 +140,9 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     def train(chosen: list[np.ndarray]) -> None:
         word, bag = np.concatenate(chosen), np.repeat(np.arange(len(chosen)), [len(c) for c in chosen])
         there, word = np.unique(word, return_inverse=True)
-        place = np.full(n_words, -1, np.int32)
-        place[there] = np.arange(len(there))
-        mine = place[owner] >= 0
-        g, o = gram[mine], place[owner[mine]]
+        o = np.repeat(np.arange(len(there)), sizes[there])
+        first = np.repeat(bounds[there] - np.append(0, np.cumsum(sizes[there])[:-1]), sizes[there])
+        g = gram[first + np.arange(len(o))]
         inverse = 1 / sizes[there]
         for _ in range(STEPS):
             emb, soft, bias = params
@@ -162,7 +160,7 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     def tops() -> tuple[list[np.ndarray], np.ndarray]:
         """Each document's most toxic passage and what its words add to the log-odds."""
         emb, soft, _ = params
-        of_word = np.bincount(owner, (emb @ (soft[:, 1] - soft[:, 0]))[gram], n_words) / sizes
+        of_word = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)[gram], bounds[:-1]) / sizes
         chosen, odds = [], []
         for b in bags:
             starts, ends = windows(len(b))
