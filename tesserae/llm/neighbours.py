@@ -8,7 +8,10 @@ query sets of any size are cut into chunks of at most CHUNK, so no cell grows
 with the data. In a cell, asymmetric distance tables score the codes, the best
 SHORT of each query are scored again on the original vectors in double
 precision, and those that reach the query's floor go on; the floor is well
-below the k-th best score among the sample's vectors. A query that is left
+below the k-th best score among the sample's vectors. Where a code left out
+could still reach the answers (its score plus the length of the query times
+what quantisation lost of the vector), the query is scored against the whole
+cell, so a cell gives its exact answers whatever the codes. A query that is left
 with fewer than k answers though there are more candidates is searched again
 over all lists without a floor.
 
@@ -38,8 +41,10 @@ SAMPLE = 16_384
 PARTS, WORDS = 16, 256
 #: Part of the sample's neighbours that the probed lists must hold.
 PROBE_RECALL = 0.985
-#: Codes of a cell that are scored exactly for a query.
+#: Codes of a cell that are scored exactly for a query before it is known whether that is enough.
 SHORT = 64
+#: Rounding of single precision scores, as a part of the product of both lengths.
+ROUNDING = 1e-5
 #: A floor lies at the score of the SPARE * k-th of the sample, so that lists not probed leave enough answers.
 SPARE = 4
 #: Vectors and queries of a cell.
@@ -99,6 +104,11 @@ class Index:
         rest = np.split(x - self.centres[own], len(self.books), axis=1)
         return own, np.stack([nearest(p, b) for p, b in zip(rest, self.books, strict=True)], 1).astype(np.uint8)
 
+    def lost(self, part: int, codes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The distance of each vector of a list from what its code stands for."""
+        held = np.concatenate([b[codes[:, m]] for m, b in enumerate(self.books)], 1)
+        return np.linalg.norm((x - self.centres[part] - held).astype(np.float64), axis=1)
+
     def lists_of(self, q: np.ndarray, every: bool = False) -> np.ndarray:
         return np.argsort(-(q @ self.centres.T), axis=1, kind="stable")[:, : None if every else self.probes]
 
@@ -120,15 +130,29 @@ def search_cell(index: Index, part: int, codes: np.ndarray, x: np.ndarray, ids:
     found = []
     tables = [b @ q_part.T for b, q_part in zip(index.books, np.split(q, len(index.books), axis=1), strict=True)]
     base = q @ index.centres[part]
+    size = np.linalg.norm(x.astype(np.float64), axis=1).max(initial=0)
+    slack = (index.lost(part, codes, x) + ROUNDING * (size + np.linalg.norm(index.centres[part]))).astype(np.float32)
+    x, q = x.astype(np.float64), q.astype(np.float64)
+    length = np.linalg.norm(q, axis=1)
     for i in range(0, len(q), 256):
         approx = np.repeat(base[None, i : i + 256], len(x), 0)
         for m, t in enumerate(tables):
             approx += t[codes[:, m], i : i + 256]
+        n = approx.shape[1]
         short = min(SHORT, len(x))
-        rows = np.argpartition(-approx, short - 1, axis=0)[:short].T
-        own = np.repeat(np.arange(i, i + rows.shape[0]), short)
-        rows = rows.ravel()
-        score = np.einsum("ij,ij->i", x[rows].astype(np.float64), q[own].astype(np.float64))
+        rows = np.argpartition(-approx, short - 1, axis=0)[:short]
+        score = np.einsum("ijk,jk->ij", x[rows], q[i : i + n])
+        least = floors[i : i + n]
+        if short >= keep:
+            least = np.maximum(least, np.partition(score, short - keep, axis=0)[short - keep])
+        approx += slack[:, None] * length[i : i + n].astype(np.float32)
+        np.put_along_axis(approx, rows, -np.inf, axis=0)
+        wide = approx.max(0) >= least
+        own, rows, score = np.repeat(np.arange(i, i + n)[~wide], short), rows[:, ~wide].T.ravel(), score[:, ~wide].T.ravel()
+        if wide.any():
+            every = x @ q[i : i + n][wide].T
+            at, of = np.nonzero(every >= least[wide] - ROUNDING * size * length[i : i + n][wide])
+            own, rows, score = np.append(own, i + np.flatnonzero(wide)[of]), np.append(rows, at), np.append(score, every[at, of])
         ok = score >= floors[own]
         own, rows, score = own[ok], rows[ok], score[ok]
         order = np.lexsort((ids[rows], -score, own))

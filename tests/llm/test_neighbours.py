@@ -62,3 +62,17 @@ def test_few_and_no_rows(spark):
     assert neighbours.search(valid, valid.where("vec_id % 20 = 0").select("vec_id")).count() == 4
     none = neighbours.valid_vectors(df.limit(0), "vec_id", "embedding")
     assert neighbours.search(none, none.select("vec_id")).collect() == []
+
+
+def test_groups_of_near_copies_wider_than_the_short_list(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 32))
+    for a in range(0, 900, 300):
+        x[a : a + 300] = x[a] + rng.normal(size=(300, 32)) * 0.01
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    valid = neighbours.valid_vectors(df, "vec_id", "embedding")
+    found = neighbours.search(valid, valid.where("vec_id % 20 = 0 and vec_id < 900").select("vec_id"), 20).collect()
+    want = {q: {i for i, _ in w} for q, w in exact(list(range(3000)), x.astype(float), 20).items() if q < 900}
+    hit = sum(r["vec_id"] in want[r["query_id"]] for r in found)
+    assert hit / (20 * len(want)) >= 0.9
