@@ -52,3 +52,9 @@ def test_corners(spark, docs, none):
 def test_no_python_in_the_plan(spark, sf):
     plan = LLM_QUERIES["op10_histogram_shards"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_the_query_exchanges_whole_texts(spark, sf):
+    plan = LLM_QUERIES["op10_histogram_shards"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    window = next(k for k, line in enumerate(plan) if "Window" in line and "row_number" in line)
+    assert any("crc32(" in line for line in plan[:window]) and not any("crc32(" in line for line in plan[window:])
