@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from .common import text_or_empty
 
 #: Most labelled documents that a classifier is fitted on.
 FIT_DOCS = 6000
-#: Most characters of text that are fetched for fitting; sampled documents beyond it are left to scoring.
+#: Most characters of text that are kept for fitting; sampled documents beyond it are left to scoring.
 FIT_CHARS = 40_000_000
 
 
@@ -22,18 +24,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
     """Texts and labels of at most ``most`` documents that ``learn`` admits, those of smallest hash.
 
     A document with several labels takes the largest; null labels do not count.
-    Only the sampled ids' texts are fetched, up to FIT_CHARS characters in all.
+    Only the sampled ids' texts are kept, up to FIT_CHARS characters in all; one that
+    does not fit is passed over, with a warning if its label is lost that way.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & learn)
     known = known.groupBy("doc_id").agg(F.max(label).alias("y"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # at most ``most`` rows of two numbers
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(picked), "doc_id")
     rows = rows.groupBy("doc_id", "y").agg(F.max("text").alias("text"))
-    texts, ys, chars = [], [], 0
+    texts, ys, chars, over = [], [], 0, set()
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        if chars + len(r["text"]) > FIT_CHARS:
+            over.add(int(r["y"]))
+            continue
         chars += len(r["text"])
-        if chars > FIT_CHARS:
-            break
         texts.append(r["text"])
         ys.append(int(r["y"]))
+    if lost := over - set(ys):
+        warnings.warn(f"{label}: no text of label {sorted(lost)} fits {FIT_CHARS} characters", stacklevel=2)
     return texts, ys
