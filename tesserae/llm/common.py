@@ -75,6 +75,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def spare_prefix(df: DataFrame, prefix: str) -> str:
+    """The prefix, lengthened until no column's name begins with it, for columns that only live inside an operator."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -1,21 +1,23 @@
 """SimHash near-duplicates: fingerprints, linked by a binary trie self-join.
 
 A fingerprint bit is set where more than half of a text's shingle hashes have
-it. Equal fingerprints are brought together first (smallest doc_id and count
-stand for all copies). Two fingerprints that differ in at most ERRORS bits
+it. Equal fingerprints are brought together first, and the fingerprint itself
+stands for all of them. Two fingerprints that differ in at most ERRORS bits
 agree in one of ERRORS + 1 blocks of bits, so each distinct one goes to the
-tries of its blocks, ERRORS + 1 rows in all. In a block's trie (a sorted run;
+tries of its blocks, ERRORS + 1 rows in all. A trie of more than TRIE_ROWS is
+dealt once more: in the same way by blocks of the bits that are left. In a
+block's trie (a sorted run;
 a node is a range with a common prefix) node pairs are walked together: bits
 that differ above both nodes' branching bits are counted, and a pair is left
 as soon as they exceed ERRORS. Pairs whose ends are all linked already are
 left too, so a large group of near copies costs no visit of all its pairs. A
 trie gives a star of links for each group, never all pairs; components over
-all stars give the classes.
+all stars give the classes, and a class is named by its smallest doc_id.
 
 Defined results: a text without words (null, empty) has fingerprint 0 and
 links like any other; fewer words than a shingle give one shingle of them all.
-Rows with a null doc_id get a fingerprint; component_id is null if no row of
-their component has a doc_id. Repeated rows stay; other columns are not read.
+Rows with a null doc_id get a fingerprint and link like any other;
+component_id is null if no row of their component has a doc_id. Repeated rows stay; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, materialize, shuffle_width, texts_of
+from .common import documents, join_skewed, map_batches, materialize, shuffle_width, texts_of
 from .components import components
 
 SEED = 42
@@ -211,41 +213,68 @@ def linked(bucket: np.ndarray, fp: np.ndarray, errors: int = ERRORS) -> np.ndarr
     return groups.label
 
 
-def blocks(errors: int) -> list[tuple[int, int]]:
-    """(shift, bits) of errors + 1 blocks that part the 64 bits."""
-    cuts = [64 * k // (errors + 1) for k in range(errors + 2)]
+def blocks(errors: int, first: int = 0, end: int = 64) -> list[tuple[int, int]]:
+    """(shift, bits) of errors + 1 blocks that part the bits from first to end."""
+    cuts = [first + (end - first) * k // (errors + 1) for k in range(errors + 2)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def _bits(shift: int, bits: int):
+    return F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1)
+
+
+def _part(rest: list[int], errors: int) -> list[list[int]]:
+    """errors + 1 lists that part the given bits."""
+    return [rest[len(rest) * k // (errors + 1) : len(rest) * (k + 1) // (errors + 1)] for k in range(errors + 1)]
+
+
+def tries(distinct: DataFrame, errors: int) -> DataFrame:
+    """fp and bucket: each fingerprint in the tries that it belongs to; fingerprints within ``errors`` bits share one."""
+    n = errors + 1
+    parts = blocks(errors)
+    keys = F.array(*[_bits(*p) * n + k for k, p in enumerate(parts)])
+    rows = distinct.select("fp", F.explode(keys).alias("top"))
+    large = rows.groupBy("top").count().where(F.col("count") > TRIE_ROWS).select("top")
+    # at most a row for each value of a block
+    rows = rows.join(F.broadcast(large.withColumn("large", F.lit(True))), "top", "left")
+    deeper = F.lit(None).cast("array<long>")
+    for k, (shift, bits) in enumerate(parts):
+        rest = _part([b for b in range(64) if not shift <= b < shift + bits], errors)
+        values = [sum((F.getbit("fp", F.lit(b)).cast("long") * (1 << i) for i, b in enumerate(bs)), F.lit(0).cast("long")) * n + j for j, bs in enumerate(rest)]
+        deeper = F.when(F.pmod("top", F.lit(n)) == k, F.array(*values)).otherwise(deeper)
+    sub = F.when(F.col("large"), deeper).otherwise(F.array(F.lit(-1).cast("long")))
+    return rows.select("fp", "top", F.explode(sub).alias("sub")).select("fp", (F.col("top") * (1 << 32) + F.col("sub")).alias("bucket"))
+
+
 def links(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
-    """Stars (u, v) of rep ids that link the classes; distinct: fp (no two alike) and rep."""
-    keys = [
-        F.shiftrightunsigned("fp", shift).bitwiseAND((1 << bits) - 1) * (errors + 1) + k for k, (shift, bits) in enumerate(blocks(errors))
-    ]
-    rows = distinct.select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
-    rows = rows.repartition(shuffle_width(distinct.sparkSession), "bucket").sortWithinPartitions("bucket")
+    """Stars (u, v) of fingerprints that link the classes; distinct: fp (no two alike)."""
+    rows = tries(distinct, errors).repartition(shuffle_width(distinct.sparkSession), "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         n = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n
-            bucket, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
+            bucket, fp = (np.concatenate(x) for x in zip(*held, strict=True))
             end = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
-            held, n = [(bucket[end:], fp[end:], rep[end:])], len(bucket) - end
-            bucket, fp, rep = bucket[:end], fp[:end].view(np.uint64), rep[:end]
+            held, n = [(bucket[end:], fp[end:])], len(bucket) - end
+            bucket, fp = bucket[:end], fp[:end].view(np.uint64)
             order = np.lexsort((fp, bucket))
-            bucket, fp, rep = bucket[order], fp[order], rep[order]
+            bucket, fp = bucket[order], fp[order]
             label = linked(bucket, fp, errors)
             far = np.flatnonzero(label != np.arange(end))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[far]), pa.array(rep[label[far]])], ["u", "v"])
+            fp = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[far]), pa.array(fp[label[far]])], ["u", "v"])
 
         for batch in batches:
-            fp, rep, bucket = (np.array(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns)
-            held.append((bucket, fp, rep))
+            fp, bucket = (np.array(c.to_numpy(zero_copy_only=False), np.int64) for c in batch.columns)
+            if not len(fp):
+                continue
+            held.append((bucket, fp))
             n += len(fp)
-            if n >= TRIE_ROWS:
+            # a trie that is not whole yet is not put together again for each batch
+            if n >= TRIE_ROWS and held[0][0][0] != bucket[-1]:
                 yield from flush(False)
         if n:
             yield from flush(True)
@@ -256,11 +285,16 @@ def links(distinct: DataFrame, errors: int = ERRORS) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 4, errors: int = ERRORS) -> DataFrame:
     """doc_id, fp and component_id of each row of docs."""
     prints = materialize(fingerprints(docs, width), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fingerprints")
-    classes = components(links(distinct.where("rep is not null"), errors))
-    moved = classes.where("node <> component")
-    by_fp = distinct.join(moved, distinct["rep"] == moved["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
+    classes = components(links(distinct.select("fp"), errors)).where("node <> component").withColumnRenamed("node", "fp")
+    placed = distinct.join(classes, "fp", "left").withColumn("class", F.coalesce("component", "fp"))
+    placed = materialize(placed.select("fp", "rep", "class", "n"), "classes")
+    # a class of one fingerprint has its name already
+    shared = placed.where("class <> fp").select("class").distinct()
+    several = placed.join(shared, "class", "left_semi")
+    firsts = several.groupBy("class").agg(F.min("rep").alias("component_id"))
+    named = placed.join(firsts, "class", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n")
+    return join_skewed(prints, materialize(named, "class-names"), ["fp"], "n").select("doc_id", "fp", "component_id")
 
 
 def op3_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

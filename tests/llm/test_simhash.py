@@ -93,3 +93,28 @@ def test_components(spark):
     chain = spark.range(200).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {r["component"] for r in components(chain).collect()} == {0}
     assert components(edges.limit(0)).collect() == []
+
+
+def with_fingerprints(spark, monkeypatch, rows):
+    df = spark.createDataFrame(rows, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: docs.select("doc_id", "fp"))
+    return {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(df).collect()}
+
+
+def test_a_null_id_links_what_it_lies_between(spark, monkeypatch):
+    found = with_fingerprints(spark, monkeypatch, [(1, 0), (None, 15), (2, 255), (None, -1), (7, 1 << 40), (7, 1 << 40)])
+    assert found == {(1, 0): 1, (None, 15): 1, (2, 255): 1, (None, -1): None, (7, 1 << 40): 1}
+
+
+def test_large_tries_are_dealt_once_more(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 2**20, 400).astype(np.uint64) << np.uint64(13)  # equal in three blocks: their tries hold all
+    flips = np.uint64(1) << rng.integers(0, 64, (400, 3)).astype(np.uint64)
+    fp = np.unique(np.append(low, low ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2])).view(np.int64)
+    want = classes({i: int(f) & simhash_mask for i, f in enumerate(fp)})
+    monkeypatch.setattr(simhash, "TRIE_ROWS", 50)
+    found = with_fingerprints(spark, monkeypatch, [(i, int(f)) for i, f in enumerate(fp)])
+    assert {d: c for (d, _), c in found.items()} == want
+
+
+simhash_mask = (1 << 64) - 1
