@@ -59,6 +59,50 @@ def test_stable_tokens_come_before_the_end(t):
     assert len(read) == 40 and rest
 
 
+def in_blocks(t, text, sizes, seed=0):
+    """Ids of text fed in blocks of random sizes, and the most that was held."""
+    rng, e, ids, most, at = random.Random(seed), bpe.Encoder(t), [], 0, 0
+    while at < len(text):
+        n = rng.choice(sizes)
+        ids += e.feed(text[at : at + n])
+        most, at = max(most, e.size), at + n
+    return ids + e.close(), most
+
+
+PARTS = st.sampled_from(["word ", "it's", "'r", "'", "e", "'ll", "<|endoftext|>", "<|end", "oftext|>", "e\u0301", "\u0301", "\u1100\u1161\u11a8", "\u0995\u09c7\u09be", "12", "!?", "\n", "\u3000", "ΑΣ", "漢字", "x" * 30])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, max_size=40), st.integers(0, 5))
+def test_blocks_of_any_size(parts, seed):
+    t, text = bpe.transducer(PATH), "".join(parts)
+    whole = bpe.BLOCK, bpe.LONG
+    try:
+        bpe.BLOCK, bpe.LONG = 24, 8  # cuts without white space and open runs
+        assert in_blocks(t, text, (1, 5, 17), seed)[0] == LIB.encode(text, add_special_tokens=False).ids
+    finally:
+        bpe.BLOCK, bpe.LONG = whole
+
+
+def test_held_state_is_bounded_on_50_mb(t):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdeéñ漢") for _ in range(rng.randrange(1, 12))) for _ in range(300)]
+    prose = " ".join(rng.choice(words) for _ in range(40_000)) + " "
+    e, fed, most, n = bpe.Encoder(t), 0, 0, 0
+    while fed < 50_000_000:
+        for i in range(0, len(prose), 50_000):
+            n += len(e.feed(prose[i : i + 50_000]))
+            most = max(most, e.size)
+        fed += len(prose.encode())
+    assert most <= 2 * bpe.BLOCK and n > 0
+    for block in ("ab" * 25_000, "=" * 50_000, "漢字" * 25_000):
+        e, most = bpe.Encoder(t), 0
+        for _ in range(12):
+            e.feed(block)
+            most = max(most, e.size)
+        assert most <= 2 * bpe.BLOCK + bpe.STEP + t.lookahead + 64
+
+
 def test_lookahead_of_a_small_list():
     assert bpe.sufficient_lookahead([("b", "c"), ("a", "b")]) == 4  # c can undo ab: one b and one a back, longest token 2
     with pytest.raises(ValueError):
@@ -79,6 +123,7 @@ def test_query_and_operators(spark, sf, docs, none):
         assert got["n_tokens"] == len(ids)
         assert got["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got["decoded_sha256"] == hashlib.sha256(LIB.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert got["text_sha256"] == hashlib.sha256("".join(bpe.transducer(PATH).text_stream(ids)).encode()).hexdigest()
     encoded = bpe.encode_texts(docs, PATH)
     assert encoded.count() == docs.count() and bpe.encode_texts(none, PATH).count() == 0
     back = {r["doc_id"]: r["text"] for r in bpe.decode_ids(encoded, PATH, plain=False).collect()}
