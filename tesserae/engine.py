@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +48,7 @@ class Engine:
         self._root, self._store, self._key, self.profile = root, None, key, profile
         require(profile, "query")
         self.pending: dict[str, DataFrame] | None = None
-        self._depth = 0
+        self._depth = self._held = 0
 
     @property
     def store(self) -> Store:
@@ -66,11 +67,24 @@ class Engine:
             self.register(n, self.spark.read.parquet(f"{folder}/{n}.parquet"))
         return self
 
+    @contextmanager
+    def _steady(self):
+        """One state of the catalog for a whole statement: read at its start, or at its transaction's."""
+        if self._held == 0 and self.pending is None and self._managed:
+            self.store.refresh()
+        self._held += 1
+        try:
+            yield
+        finally:
+            self._held -= 1
+
     @property
     def _managed(self) -> bool:
         return self._store is not None or self._root is not None
 
     def collections(self) -> list[str]:
+        with self._steady():
+            pass
         return sorted({*self.given, *(self.store.collections if self._managed else ())})
 
     def read(self, name: str) -> DataFrame:
@@ -80,6 +94,8 @@ class Engine:
         if name in self.given:
             return self.given[name]
         if self._managed:
+            with self._steady():
+                pass
             if name in self.store.collections:
                 return self._alive(name, self.store.read(name))
             if name in self.store.views:
@@ -254,7 +270,6 @@ class Engine:
     # writes
 
     def execute(self, s: Statement) -> dict:
-        b = s.body
         match s.kind:
             case "begin":
                 return self.begin()
@@ -262,9 +277,14 @@ class Engine:
                 return self.commit()
             case "rollback":
                 return self.rollback()
+        with self._steady():
+            return self._execute(s)
+
+    def _execute(self, s: Statement) -> dict:
+        b = s.body
+        match s.kind:
             case "create collection":
-                self.store.create(b["collection"])
-                self.store.save()
+                self.store.set(b["collection"])
                 return {"created": b["collection"]}
             case "drop collection":
                 self.store.drop(b["collection"])
@@ -275,16 +295,13 @@ class Engine:
                 if b["view"] in self.collections():
                     raise EngineError(f"{b['view']} is a collection")
                 self.lowering().select(b["select"])
-                self.store.views[checked(b["view"])] = b["select"].text
-                self.store.save()
+                self.store.set_view(b["view"], b["select"].text)
                 return {"view": b["view"]}
             case "create index":
                 return self.index(b["collection"], b["field"], b["unique"])
             case "drop index":
                 entry = self.store.settings(b["collection"])
-                entry["indexes"] = [f for f in entry["indexes"] if f != b["field"]]
-                entry["uniques"] = [f for f in entry["uniques"] if f != b["field"]]
-                self.store.save()
+                self.store.set(b["collection"], **{k: [f for f in entry[k] if f != b["field"]] for k in ("indexes", "uniques")})
                 return {"dropped": b["field"]}
             case "insert":
                 return self.insert_rows(b["collection"], b["rows"], merge=b["upsert"])
@@ -305,9 +322,7 @@ class Engine:
             n = df.select(values.as_text(v).alias("v")).where("v is not null and v <> ''").distinct().count()
         if unique:
             self._unique(df, [field])
-            entry["uniques"] = sorted({*entry["uniques"], field})
-        entry["indexes"] = sorted({*entry["indexes"], field})
-        self.store.save()
+        self.store.set(name, indexes=sorted({*entry["indexes"], field}), uniques=sorted({*entry["uniques"], *([field] if unique else [])}))
         return {"index": field, "values": n}
 
     @staticmethod
@@ -322,35 +337,64 @@ class Engine:
             if twice.head(1):
                 raise EngineError(f"{f} must be unique; it repeats {twice.first()['v']!r}")
 
-    def _write(self, changed: dict[str, DataFrame]) -> None:
-        """Commit whole new states, or hold them for the open transaction."""
-        for name, df in changed.items():
+    def _write(self, changed: dict[str, DataFrame], stamp: str | None = None) -> None:
+        """Stage whole new states, check them, and commit them or hold them for the open transaction.
+
+        stamp: when the documents that this write touches were updated; they must keep the declared schema.
+        """
+        require(self.profile, "crud")
+        for name in changed:
             if name in self.given:
                 raise EngineError(f"{name} is read-only")
-            entry = self.store.collections.get(name, {"uniques": []})
-            self._unique(df, entry["uniques"])
+        seen = {n: self.store.collections.get(n, {}).get("snapshot") for n in changed}
         staged = {n: self.store.stage(n, df) for n, df in changed.items()}
+        try:
+            for name, snapshot in staged.items():
+                entry, df = self.store.collections.get(name, {}), self.store.staged(name, snapshot)
+                self._unique(df, entry.get("uniques", []))
+                if stamp is not None:
+                    self._keeps_schema(df.where(F.col("_updatedAt") == stamp), entry.get("schema", {}))
+            if self.pending is None:
+                self.store.commit(staged, seen)
+        except BaseException:
+            for name, snapshot in staged.items():
+                self.store.discard(name, snapshot)
+            raise
         if self.pending is not None:
             self.pending |= {n: self.store.staged(n, p) for n, p in staged.items()}
             self._paths |= staged
-        else:
-            self.store.commit(staged)
+
+    @staticmethod
+    def _keeps_schema(df: DataFrame, rules: dict) -> None:
+        """Raise where a document breaks a rule: one pass for all rules."""
+        broken = {}
+        for i, (field, rule) in enumerate(rules.items()):
+            v = column(df, field)
+            absent = F.lit(True) if v is None or v.kind == "null" else v.col.isNull()
+            if rule.get("obligatorio"):
+                broken[f"n{i}"] = (F.count_if(absent | (v.col == "") if v is not None and v.kind == "text" else absent), f"{field} is needed")
+            if rule.get("tipo") and v is not None and v.kind not in ADMITS[rule["tipo"]]:
+                broken[f"t{i}"] = (F.count_if(~absent), f"{field} must be {rule['tipo']}")
+        if broken:
+            seen = df.agg(*[c.alias(k) for k, (c, _) in broken.items()]).first()
+            for k, (_, said) in broken.items():
+                if seen[k]:
+                    raise EngineError(said)
 
     def begin(self) -> dict:
         if self.pending is not None:
             raise EngineError("a transaction is open already")
-        self.pending, self._paths = {}, {}
-        self._seen = {n: e["version"] for n, e in self.store.collections.items()}
+        with self._steady():
+            self.pending, self._paths = {}, {}
+            self._seen = {n: e["snapshot"] for n, e in self.store.collections.items()}
         return {"transaction": "open"}
 
     def commit(self) -> dict:
+        """All writes at once, if no collection that was written has changed on disk since the transaction began."""
         if self.pending is None:
             raise EngineError("no transaction is open")
         paths, self.pending = self._paths, None
-        changed = [n for n in paths if n in self.store.collections and self.store.collections[n]["version"] != self._seen.get(n, 0)]
-        if changed:
-            raise EngineError(f"{', '.join(changed)} changed since the transaction began")
-        self.store.commit(paths)
+        self.store.commit(paths, self._seen)
         return {"committed": len(paths)}
 
     def rollback(self) -> dict:
@@ -370,17 +414,13 @@ class Engine:
         return found
 
     def define_schema(self, name: str, rules: dict) -> None:
-        self.store.create(name)
         for field, rule in rules.items():
             if rule.get("tipo") not in (None, *ADMITS):
                 raise EngineError(f"{field}: unknown type {rule['tipo']}")
-        self.store.collections[name]["schema"] = rules
-        self.store.save()
+        self.store.set(name, schema=rules)
 
     def define_ttl(self, name: str, seconds: int | None) -> None:
-        self.store.create(name)
-        self.store.collections[name]["ttl"] = seconds
-        self.store.save()
+        self.store.set(name, ttl=seconds)
 
     def _ruled(self, name: str, rows: list[dict], merged: bool = False) -> list[dict]:
         rules = self.store.collections.get(name, {}).get("schema", {})
@@ -403,13 +443,24 @@ class Engine:
         return self.insert_rows(name, [doc | ({"id": id_} if id_ else {})])
 
     def insert_rows(self, name: str, rows: list[dict], merge: bool = False) -> dict:
-        """Literal rows; equal ids are replaced, or merged field by field where ``merge`` says so."""
+        """Literal rows; equal ids are replaced, or merged field by field where ``merge`` says so.
+
+        Of rows with one id the last one counts; merged rows add up in their order.
+        """
+        with self._steady():
+            return self._insert_rows(name, rows, merge)
+
+    def _insert_rows(self, name: str, rows: list[dict], merge: bool) -> dict:
         now = datetime.now(timezone.utc)
         made = []
         for i, row in enumerate(self._ruled(name, rows, merge)):
             row = {k: v for k, v in row.items() if k not in PROTECTED[1:]}
             row["id"] = str(row.get("id") or f"{now:%Y%m%d%H%M%S}{now.microsecond // 100:04d}{i:06d}{uuid.uuid4().hex[:6]}")
             made.append(row)
+        last: dict[str, dict] = {}
+        for row in made:
+            last[row["id"]] = last[row["id"]] | row if merge and row["id"] in last else row
+        n, made = len(made), list(last.values())
         fields = list(dict.fromkeys(k for r in made for k in r))
         # numbers of both kinds in one field are decimals
         for f in fields:
@@ -420,8 +471,8 @@ class Engine:
                         r[f] = float(r[f])
         schema = self._schema_of(fields, made).add(SET_FIELDS, T.ArrayType(T.StringType()))
         new = self.spark.createDataFrame([(*(r.get(f) for f in fields), list(r)) for r in made], schema)
-        self.merge(name, new, merge)
-        return {"inserted": len(made)} if len(made) > 1 else self._public(self.get(name, made[0]["id"]).first().asDict())
+        self._merge(name, new, merge)
+        return {"inserted": n} if n > 1 else self._public(self.get(name, made[0]["id"]).first().asDict())
 
     @staticmethod
     def _public(doc: dict) -> dict:
@@ -445,12 +496,18 @@ class Engine:
 
         Fields that a document of ``new`` does not set are kept or go; those
         set are the ones SET_FIELDS lists, where there is such a column, else
-        the ones that are not null.
+        the ones that are not null. Of rows with one id the last one counts.
         """
+        with self._steady():
+            at = Window.partitionBy("id").orderBy(F.desc("__at"))
+            new = new.withColumn("__at", F.monotonically_increasing_id()).withColumn("__r", F.row_number().over(at)).where("__r = 1").drop("__at", "__r")
+            self._merge(name, new, keep_old_fields)
+
+    def _merge(self, name: str, new: DataFrame, keep_old_fields: bool) -> None:
         if name not in self.collections() and (self.pending is None or name not in self.pending):
             self.store.create(name)
         old = self.read(name) if name in self.store.collections or (self.pending and name in self.pending) else None
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        now = datetime.now(timezone.utc).isoformat()
         fields = [c for c in dict.fromkeys([*old.columns, *new.columns]) if c not in (*PROTECTED, SET_FIELDS)]
         a, b = old.alias("a"), new.alias("b")
         both = a.join(b, F.col("a.id") == F.col("b.id"), "full_outer")
@@ -474,7 +531,7 @@ class Engine:
             F.when(there, F.col("a._createdAt")).otherwise(F.lit(now)).alias("_createdAt"),
             F.when(comes, F.lit(now)).otherwise(F.col("a._updatedAt")).alias("_updatedAt"),
         ]
-        self._write({name: both.select(out)})
+        self._write({name: both.select(out)}, now)
 
     @staticmethod
     def _common(old: DataFrame, new: DataFrame, c: str, x, y):
@@ -495,15 +552,17 @@ class Engine:
         return self.insert_rows(name, [doc | {"id": id_}], merge=not replace)
 
     def update(self, name: str, id_: str, doc: dict) -> dict:
-        if not self.exists(name, id_):
-            raise EngineError(f"there is no document {id_}")
-        return self.put(name, id_, doc)
+        with self._steady():
+            if not self.exists(name, id_):
+                raise EngineError(f"there is no document {id_}")
+            return self.put(name, id_, doc)
 
     def delete(self, name: str, id_: str) -> bool:
-        there = self.exists(name, id_)
-        if there:
-            self._write({name: self.read(name).where(F.col("id") != id_)})
-        return there
+        with self._steady():
+            there = self.exists(name, id_)
+            if there:
+                self._write({name: self.read(name).where(F.col("id") != id_)})
+            return there
 
     def _affected(self, name: str, where, limit: int | None) -> DataFrame:
         scope = Scope(self.read(name))
@@ -522,7 +581,7 @@ class Engine:
         scope = Scope(df)
         new = df.select("id", *[(F.lit(None) if (x := scope.value(v)).kind == "null" else x.col).alias(f) for f, v in sets.items()])
         mark = df.join(ids.withColumn("__hit", F.lit(True)), "id", "left")
-        now = datetime.now(timezone.utc).isoformat(timespec="seconds")
+        now = datetime.now(timezone.utc).isoformat()
         hit = F.coalesce("__hit", F.lit(False))
         inner, out = Scope(mark), []
         for c in dict.fromkeys([*df.columns, *sets]):
@@ -540,7 +599,7 @@ class Engine:
                 out.append(F.when(hit, F.lit(now)).otherwise(x).alias(c))
             else:
                 out.append(x.alias(c))
-        self._write({name: mark.select(out)})
+        self._write({name: mark.select(out)}, now)
         return {"updated": n}
 
     def delete_where(self, name: str, where, limit: int | None = None) -> dict:
@@ -572,28 +631,47 @@ class Engine:
         return {"changed": n}
 
     def _rename(self, name: str, to: str) -> dict:
-        if to in self.collections():
+        if to in self.given:
             raise EngineError(f"{to} exists already")
-        self.store.collections[to] = self.store.settings(name)
-        del self.store.collections[name]
-        self.store.save()
+        self.store.rename(name, to)
         return {"renamed": to}
 
     # exchange, upkeep
 
     def export(self, name: str, path: str) -> None:
+        require(self.profile, "exchange")
         exchange.write(self.read(name), path)
 
     def import_(self, name: str, path: str) -> int:
+        """Documents of a file into a collection, under its declared schema; the last one of an id counts."""
+        require(self.profile, "exchange")
+        with self._steady():
+            return self._import(name, path)
+
+    def _import(self, name: str, path: str) -> int:
         new = exchange.read(self.spark, path)
         if "id" not in new.columns:
             new = new.withColumn("id", F.expr("uuid()"))
         new = new.withColumn("id", F.col("id").cast("string"))
+        rules = self.store.collections.get(name, {}).get("schema", {})
+        for field, rule in rules.items():
+            if "defecto" in rule:
+                given = F.lit(rule["defecto"])
+                new = new.withColumn(field, F.coalesce(F.col(f"`{field}`"), given) if field in new.columns else given)
         self.merge(name, new, False)
         return new.count()
 
+    def backup(self, path: str, base: str | None = None) -> dict:
+        require(self.profile, "backup")
+        return self.store.backup(path, base)
+
+    def restore(self, path: str) -> dict:
+        require(self.profile, "backup")
+        return self.store.restore(path)
+
     def compact(self, name: str, files: int = 1) -> None:
-        self._write({name: self.read(name).repartition(files)})
+        with self._steady():
+            self._write({name: self.read(name).repartition(files)})
 
     def migrate(self, name: str, kind: str) -> None:
         """Store a collection as parquet or json from now on."""
@@ -614,9 +692,10 @@ class Engine:
 
     def sweep(self, name: str) -> int:
         """Drop expired documents for good; gives their number."""
-        before = self.store.read(name).count()
-        self._write({name: self.read(name)})
-        return before - self.read(name).count()
+        with self._steady():
+            before = self.store.read(name).count()
+            self._write({name: self.read(name)})
+            return before - self.read(name).count()
 
     def checkup(self) -> DataFrame:
         """Documents, version and repeats of unique fields of each managed collection."""

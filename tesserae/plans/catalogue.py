@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..engine import Engine
+from ..errors import EngineError
 from ..functions.embed import HashEmbedder
 from ..sources.scratch import scratch
 
@@ -326,6 +327,66 @@ _after("tx_overlay_scan", "SELECT * FROM {nation} WHERE n_regionkey <> 1", "BEGI
 _after("write_version", "SELECT id, CAST(CASE WHEN n_regionkey = 2 THEN 2 ELSE 1 END AS BIGINT) AS _version FROM {nation}", "UPDATE nation SET n_name = 'z' WHERE n_regionkey = 2", then="SELECT id, _version FROM nation")
 
 
+# writes on a managed copy of orders
+
+
+_ORDERS = "(SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey, o_totalprice, o_orderstatus FROM orders)"
+
+
+def _orders(spark, d, root: str | None = None) -> Engine:
+    e = Engine(spark, root or scratch(spark))
+    rows = spark.read.parquet(f"{d}/orders.parquet")
+    e.merge("orders", rows.select(F.col("o_orderkey").cast("string").alias("id"), "o_custkey", "o_totalprice", "o_orderstatus"), False)
+    return e
+
+
+def _refused(work) -> bool:
+    try:
+        work()
+    except EngineError:
+        return True
+    return False
+
+
+@_query("insert_repeated_id", f"SELECT * FROM {_ORDERS} WHERE id <> '1' UNION ALL VALUES ('1', 8, NULL, 'Y'), ('x', 9, NULL, 'Z')")
+def _repeated(spark, d):
+    e = _orders(spark, d)
+    e.sql("INSERT INTO orders (id, o_custkey, o_orderstatus) VALUES ('1', 7, 'X'), ('x', 7, 'X'), ('1', 8, 'Y'), ('x', 9, 'Z')")
+    return e.query("SELECT id, o_custkey, o_totalprice, o_orderstatus FROM orders")
+
+
+@_query("schema_on_update", f"SELECT id, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END AS o_custkey, TRUE AS refused FROM {_ORDERS}")
+def _schema_on_update(spark, d):
+    e = _orders(spark, d)
+    e.define_schema("orders", {"o_custkey": {"tipo": "entero", "obligatorio": True}})
+    refused = all([_refused(lambda: e.sql("UPDATE orders SET o_custkey = 'text' LIMIT 3")), _refused(lambda: e.sql("UPDATE orders SET o_custkey = NULL WHERE id = '2'"))])
+    e.sql("UPDATE orders SET o_custkey = o_custkey + 1 WHERE o_orderstatus = 'F'")
+    return e.query("SELECT id, o_custkey FROM orders").withColumn("refused", F.lit(refused))
+
+
+@_query("import_schema", f"SELECT id, o_custkey, 'none' AS kind, TRUE AS refused FROM {_ORDERS}")
+def _import_schema(spark, d):
+    e = _orders(spark, d)
+    path = scratch(spark) + "/orders.json"
+    e.export("orders", path)
+    e.define_schema("copy", {"o_custkey": {"tipo": "entero"}, "kind": {"tipo": "texto", "defecto": "none"}})
+    e.define_schema("strict", {"o_custkey": {"tipo": "texto"}, "absent": {"obligatorio": True}})
+    refused = _refused(lambda: e.import_("strict", path))
+    e.import_("copy", path)
+    return e.query("SELECT CONCAT(id) AS id, o_custkey, kind FROM copy").withColumn("refused", F.lit(refused))
+
+
+@_query("tx_conflict", f"SELECT id, CASE WHEN o_orderstatus = 'F' THEN 20 ELSE o_custkey END AS o_custkey, TRUE AS refused FROM {_ORDERS}")
+def _conflict(spark, d):
+    root = scratch(spark)
+    e, other = _orders(spark, d, root), Engine(spark, root)
+    e.sql("BEGIN")
+    e.sql("UPDATE orders SET o_custkey = 10")
+    other.sql("UPDATE orders SET o_custkey = 20 WHERE o_orderstatus = 'F'")
+    refused = _refused(lambda: e.sql("COMMIT"))
+    return e.query("SELECT id, o_custkey FROM orders").withColumn("refused", F.lit(refused))
+
+
 @_query("create_index_values", "SELECT COUNT(DISTINCT n_regionkey) AS n FROM nation")
 def _index(spark, d):
     return spark.createDataFrame([(_managed(spark, d).sql("CREATE INDEX ON nation (n_regionkey)")["values"],)], "n long")
@@ -333,8 +394,6 @@ def _index(spark, d):
 
 @_query("unique_violation", "SELECT 'n_regionkey' AS field, TRUE AS refused")
 def _violation(spark, d):
-    from ..errors import EngineError
-
     try:
         _managed(spark, d).sql("CREATE UNIQUE INDEX ON nation (n_regionkey)")
         refused = False

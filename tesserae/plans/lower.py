@@ -114,7 +114,7 @@ class Lowering:
                 return ~self.condition(p, scope)
             case Exists(s):
                 self.uncorrelated(s)
-                return F.lit(bool(self.select(s).limit(1).count()))
+                return self.select(s).exists()  # one lookup when the query runs, none when it is planned
             case Compare("in", left, Select() as s):
                 raise EngineError("a subquery can't stand here")
             case Compare("in", left, items):

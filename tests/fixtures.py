@@ -1,30 +1,30 @@
-"""Small collections that the tests share."""
+"""Small collections that the tests share: a tool library."""
 
 from tesserae.engine import Engine
 
-P = [
-    ("d0", "Café", 2, "bebida", 10, True, ["caliente", "clasico"]),
-    ("d1", "Té", 3, "bebida", None, True, ["caliente"]),
-    ("d2", "Bocadillo", 5, "comida", 4, False, []),
-    ("d3", "Tarta", 4, "postre", 0, False, ["dulce", "clasico"]),
-    ("d4", "Zumo", None, "bebida", 7, True, ["frio"]),
-    ("d5", None, 6, None, 2, None, None),
+TOOLS = [
+    ("t1", "Hammer", 7, "strike", 3, True, ["steel", "old"]),
+    ("t2", "Ruler", 1, "measure", None, False, ["wood"]),
+    ("t3", "Löter", 4, "care", 9, True, []),
+    ("t4", "Level", 9, "measure", 0, False, ["glass", "old"]),
+    ("t5", "Scale", None, "measure", 6, True, ["steel"]),
+    ("t6", None, 12, None, 15, None, None),
 ]
-SALES = [
-    ("v1", "Murcia", "ana", 100.0, "2026-01-10T10:00:00+00:00"),
-    ("v2", "Murcia", "luis", 50.0, "2026-02-01T09:30:00+00:00"),
-    ("v3", "Lorca", "ana", 25.0, "2026-02-20T23:59:59+00:00"),
-    ("v4", "Lorca", "eva", 75.5, "2026-04-05T00:00:00+00:00"),
-    ("v5", None, "eva", None, "no date"),
+JOBS = [
+    ("j1", "North", "kim", 40.0, "2025-03-15T08:00:00+00:00"),
+    ("j2", "South", "lee", 12.5, "2025-07-09T16:45:00+00:00"),
+    ("j3", "North", "lee", 60.0, "2025-07-31T23:59:59+00:00"),
+    ("j4", "South", "max", 30.0, "2025-11-02T00:00:00+00:00"),
+    ("j5", None, "max", None, "someday"),
 ]
-CLIENTS = [("c1", "Ana", "Murcia"), ("c2", "Luis", "Lorca"), ("c3", "Eva", None)]
-ORDERS = [("p1", "c1", "uno", 10.0), ("p2", "c1", "dos", 20.0), ("p3", "c2", "tres", 5.0), ("p4", "cX", "huérfano", 1.0)]
+PEOPLE = [("u1", "Kim", "North"), ("u2", "Lee", "South"), ("u3", "Max", None)]
+LOANS = [("l1", "u1", "saw", 4.0), ("l2", "u1", "axe", 6.0), ("l3", "u2", "rope", 1.5), ("l4", "u9", "tent", 2.0)]
 
 
 def engine(spark) -> Engine:
     e = Engine(spark)
-    e.register("p", spark.createDataFrame(P, "id string, n string, precio long, cat string, stock long, vegano boolean, tags array<string>"))
-    e.register("ventas", spark.createDataFrame(SALES, "id string, ciudad string, quien string, total double, fecha string"))
-    e.register("clientes", spark.createDataFrame(CLIENTS, "id string, nombre string, ciudad string"))
-    e.register("pedidos", spark.createDataFrame(ORDERS, "id string, cli string, nombre string, total double"))
+    e.register("tools", spark.createDataFrame(TOOLS, "id string, label string, weight long, kind string, spare long, metal boolean, marks array<string>"))
+    e.register("jobs", spark.createDataFrame(JOBS, "id string, site string, who string, pay double, made string"))
+    e.register("people", spark.createDataFrame(PEOPLE, "id string, name string, site string"))
+    e.register("loans", spark.createDataFrame(LOANS, "id string, who string, name string, fee double"))
     return e

@@ -14,14 +14,14 @@ from tests import fixtures
 def test_agent(spark, tmp_path):
     e = fixtures.engine(spark)
     audit = agents.Audit(spark, str(tmp_path / "audit"))
-    a = agents.Agent("bot", e, audit, {"read"}, {"p", "ventas"}, str(tmp_path / "stop"))
-    assert a.sql("SELECT COUNT(*) FROM p") == 6
-    for bad in ("SELECT * FROM clientes", "SELECT * FROM p WHERE id IN (SELECT id FROM pedidos)", "DELETE FROM p", "rubbish"):
+    a = agents.Agent("bot", e, audit, {"read"}, {"tools", "jobs"}, str(tmp_path / "stop"))
+    assert a.sql("SELECT COUNT(*) FROM tools") == 6
+    for bad in ("SELECT * FROM people", "SELECT * FROM tools WHERE id IN (SELECT id FROM loans)", "DELETE FROM tools", "rubbish"):
         with pytest.raises(EngineError):
             a.sql(bad)
     (tmp_path / "stop").write_text("")
     with pytest.raises(EngineError):
-        a.sql("SELECT COUNT(*) FROM p")
+        a.sql("SELECT COUNT(*) FROM tools")
     seen = audit.read().collect()
     assert len(seen) == 6 and not seen[0]["allowed"] and seen[-1]["allowed"] and audit.rejections().count() == 5
 
@@ -78,8 +78,8 @@ def test_formats_and_encryption(spark, tmp_path):
 def test_profile_of_an_engine(spark):
     e = Engine(spark, profile="core")
     e.given = fixtures.engine(spark).given
-    assert e.find("p").where("cat", "bebida").count() == 3
-    for bad in (lambda: e.sql("SELECT id FROM p"), lambda: e.find("p").join("ventas", "id", "id"), lambda: e.similar("p", "x")):
+    assert e.find("tools").where("kind", "measure").count() == 3
+    for bad in (lambda: e.sql("SELECT id FROM tools"), lambda: e.find("tools").join("jobs", "id", "id"), lambda: e.similar("tools", "x")):
         with pytest.raises(EngineError):
             bad()
 

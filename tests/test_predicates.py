@@ -106,22 +106,22 @@ def test_random_trees(e, tree):
 
 
 CASES = [
-    ("precio = 3", "d1"), ("precio != 3", "d0 d2 d3 d4 d5"), ("precio < 4", "d0 d1 d4"), ("precio > 3", "d2 d3 d5"), ("precio <= 2", "d0 d4"),
-    ("precio IN (2, 5)", "d0 d2"), ("precio NOT IN (2, 5)", "d1 d3 d4 d5"), ("cat IN ('postre', NULL)", "d3 d5"), ("n LIKE '%a%'", "d0 d2 d3"),
-    ("n NOT LIKE '%a%'", "d1 d4 d5"), ("n LIKE 't_'", "d1"), ("n LIKE 'CAFÉ'", "d0"), ("tags CONTAINS 'clasico'", "d0 d3"), ("n CONTAINS 'OCAD'", "d2"),
-    ("tags NOT CONTAINS 'clasico'", "d1 d2 d4 d5"), ("precio BETWEEN 3 AND 5", "d1 d2 d3"), ("precio NOT BETWEEN 3 AND 5", "d0 d4 d5"), ("stock IS NULL", "d1"),
-    ("stock IS NOT NULL", "d0 d2 d3 d4 d5"), ("NOT precio = 3 AND cat = 'bebida'", "d0 d4"), ("precio = 2 OR precio = 3 AND stock IS NULL", "d0 d1"),
-    ("(precio = 2 OR precio = 3) AND stock IS NULL", "d1"), ("stock > precio", "d0 d4"), ("precio * 2 > 9", "d2 d5"), ("UPPER(cat) = 'POSTRE'", "d3"), ("vegano = TRUE", "d0 d1 d4"),
-    ("vegano = 1", ""), ("n = 'x' OR NOT (cat = 'bebida')", "d2 d3 d5"), ("absent = NULL", "d0 d1 d2 d3 d4 d5"), ("(precio + 1) * 2 = 8", "d1"), ("precio % 2 = 0", "d0 d3 d5"),
+    ("weight = 7", "t1"), ("weight != 7", "t2 t3 t4 t5 t6"), ("weight < 5", "t2 t3 t5"), ("weight > 7", "t4 t6"), ("weight <= 1", "t2 t5"),
+    ("weight IN (1, 9)", "t2 t4"), ("weight NOT IN (1, 9)", "t1 t3 t5 t6"), ("kind IN ('care', NULL)", "t3 t6"), ("label LIKE '%le%'", "t2 t4 t5"),
+    ("label NOT LIKE '%le%'", "t1 t3 t6"), ("label LIKE '_uler'", "t2"), ("label LIKE 'LÖTER'", "t3"), ("marks CONTAINS 'old'", "t1 t4"), ("label CONTAINS 'MME'", "t1"),
+    ("marks NOT CONTAINS 'old'", "t2 t3 t5 t6"), ("weight BETWEEN 4 AND 9", "t1 t3 t4"), ("weight NOT BETWEEN 4 AND 9", "t2 t5 t6"), ("spare IS NULL", "t2"),
+    ("spare IS NOT NULL", "t1 t3 t4 t5 t6"), ("NOT weight = 1 AND kind = 'measure'", "t4 t5"), ("weight = 7 OR weight = 1 AND spare IS NULL", "t1 t2"),
+    ("(weight = 7 OR weight = 1) AND spare IS NULL", "t2"), ("spare > weight", "t3 t5 t6"), ("weight * 2 > 15", "t4 t6"), ("UPPER(kind) = 'CARE'", "t3"), ("metal = TRUE", "t1 t3 t5"),
+    ("metal = 1", ""), ("label = 'x' OR NOT (kind = 'measure')", "t1 t3 t6"), ("absent = NULL", "t1 t2 t3 t4 t5 t6"), ("(weight + 1) * 2 = 16", "t1"), ("weight % 2 = 0", "t3 t6"),
 ]
 
 
 @pytest.mark.parametrize(("where", "ids"), CASES)
-def test_menu(spark, where, ids):
+def test_tools(spark, where, ids):
     e = fixtures.engine(spark)
-    got = [r["id"] for r in e.sql(f"SELECT id FROM p WHERE {where} ORDER BY id").collect()]
+    got = [r["id"] for r in e.sql(f"SELECT id FROM tools WHERE {where} ORDER BY id").collect()]
     assert got == ids.split()
-    assert [r["id"] for r in e.find("p").where_expr(where).order_by("id").select("id").get()] == got
+    assert [r["id"] for r in e.find("tools").where_expr(where).order_by("id").select("id").get()] == got
 
 
 def test_like_stays_fast(spark):

@@ -19,60 +19,63 @@ def rows(e, sql):
 
 
 def test_projection(e):
-    assert rows(e, "SELECT precio * 2, UPPER(n) AS u, 'x' FROM p WHERE id = 'd1'") == [(6, "Té".replace("t", "T"), "x")]
-    assert e.sql("SELECT precio * 2, UPPER(n), SUM(precio), 'x' FROM p GROUP BY precio, n").columns == ["precio * 2", "UPPER(n)", "SUM(precio)", "'x'"]
-    assert e.sql("SELECT *, precio + 1 AS precio FROM p").columns == ["id", "n", "precio", "cat", "stock", "vegano", "tags"]
-    assert rows(e, "SELECT absent, 7 / 2 AS d, 7 % 0 AS m, 'a' + 'b' AS s, 'a' + 1 AS z FROM p LIMIT 1") == [(None, 3.5, None, "ab", None)]
+    assert rows(e, "SELECT weight * 2, UPPER(label) AS u, 'x' FROM tools WHERE id = 't3'") == [(8, "LöTER", "x")]
+    assert e.sql("SELECT weight * 2, UPPER(label), SUM(weight), 'x' FROM tools GROUP BY weight, label").columns == ["weight * 2", "UPPER(label)", "SUM(weight)", "'x'"]
+    assert e.sql("SELECT *, weight + 1 AS weight FROM tools").columns == ["id", "label", "weight", "kind", "spare", "metal", "marks"]
+    assert rows(e, "SELECT absent, 7 / 2 AS d, 7 % 0 AS m, 'a' + 'b' AS s, 'a' + 1 AS z FROM tools LIMIT 1") == [(None, 3.5, None, "ab", None)]
 
 
 def test_aggregates(e):
-    got = rows(e, "SELECT ciudad, SUM(total) AS s, AVG(total) AS a, COUNT(*) AS n, COUNT(total) AS c FROM ventas GROUP BY ciudad ORDER BY ciudad")
-    assert got == [(None, None, None, 1, 0), ("Lorca", 100.5, 50.25, 2, 2), ("Murcia", 150.0, 75.0, 2, 2)]
-    assert rows(e, "SELECT ciudad FROM ventas GROUP BY ciudad HAVING SUM(total) > 120") == [("Murcia",)]
-    assert rows(e, "SELECT ciudad, SUM(total) AS s FROM ventas GROUP BY ciudad HAVING s < 120 AND ciudad IS NOT NULL") == [("Lorca", 100.5)]
-    assert rows(e, "SELECT COUNT(*) AS n, SUM(total) AS s FROM ventas WHERE total > 1000") == [(0, None)]
-    assert rows(e, "SELECT ciudad, quien FROM ventas GROUP BY ciudad ORDER BY ciudad") == [(None, "eva"), ("Lorca", "ana"), ("Murcia", "ana")]
-    assert rows(e, "SELECT DISTINCT quien FROM ventas ORDER BY quien") == [("ana",), ("eva",), ("luis",)]
-    assert e.sql("SELECT COUNT(*) FROM ventas WHERE quien = 'ana'") == 2
+    got = rows(e, "SELECT site, SUM(pay) AS s, AVG(pay) AS a, COUNT(*) AS n, COUNT(pay) AS c FROM jobs GROUP BY site ORDER BY site")
+    assert got == [(None, None, None, 1, 0), ("North", 100.0, 50.0, 2, 2), ("South", 42.5, 21.25, 2, 2)]
+    assert rows(e, "SELECT site FROM jobs GROUP BY site HAVING SUM(pay) > 50") == [("North",)]
+    assert rows(e, "SELECT site, SUM(pay) AS s FROM jobs GROUP BY site HAVING s < 50 AND site IS NOT NULL") == [("South", 42.5)]
+    assert rows(e, "SELECT COUNT(*) AS n, SUM(pay) AS s FROM jobs WHERE pay > 1000") == [(0, None)]
+    assert rows(e, "SELECT site, who FROM jobs GROUP BY site ORDER BY site") == [(None, "max"), ("North", "kim"), ("South", "lee")]
+    assert rows(e, "SELECT DISTINCT who FROM jobs ORDER BY who") == [("kim",), ("lee",), ("max",)]
+    assert e.sql("SELECT COUNT(*) FROM jobs WHERE who = 'lee'") == 2
 
 
 def test_dates(e):
-    assert rows(e, "SELECT YEAR(fecha), MONTH(fecha), DAY(fecha), HOUR(fecha), DATE(fecha) FROM ventas WHERE id = 'v3'") == [(2026, 2, 20, 23, "2026-02-20")]
-    assert rows(e, "SELECT YEAR(fecha) AS y, DATE(total) AS d FROM ventas WHERE id = 'v5'") == [(None, None)]
-    assert rows(e, "SELECT id FROM ventas WHERE MONTH(fecha) = 2 ORDER BY id") == [("v2",), ("v3",)]
-    assert rows(e, "SELECT DATEDIFF('2026-01-01T12:00:00', fecha) AS n FROM ventas WHERE id = 'v1'") == [(8,)]
+    assert rows(e, "SELECT YEAR(made), MONTH(made), DAY(made), HOUR(made), DATE(made) FROM jobs WHERE id = 'j3'") == [(2025, 7, 31, 23, "2025-07-31")]
+    assert rows(e, "SELECT YEAR(made) AS y, DATE(pay) AS d FROM jobs WHERE id = 'j5'") == [(None, None)]
+    assert rows(e, "SELECT id FROM jobs WHERE MONTH(made) = 7 ORDER BY id") == [("j2",), ("j3",)]
+    assert rows(e, "SELECT DATEDIFF('2025-03-06T12:00:00', made) AS n FROM jobs WHERE id = 'j1'") == [(8,)]
 
 
 def test_texts(e):
-    q = "SELECT LENGTH('ñu') AS a, SUBSTR('abcdef', 2, 3) AS b, SUBSTR('abcdef', -2) AS c, CONCAT('a', NULL, 1, TRUE, 2.0) AS d, TRIM('  x ') AS t, REPLACE('aXa', 'X', '-') AS r, SUBSTR('abcdef', 1, -2) AS s, UPPER('ñandú') AS u FROM p LIMIT 1"
+    q = "SELECT LENGTH('ñu') AS a, SUBSTR('abcdef', 2, 3) AS b, SUBSTR('abcdef', -2) AS c, CONCAT('a', NULL, 1, TRUE, 2.0) AS d, TRIM('  x ') AS t, REPLACE('aXa', 'X', '-') AS r, SUBSTR('abcdef', 1, -2) AS s, UPPER('ñandú') AS u FROM tools LIMIT 1"
     assert rows(e, q) == [(3, "cde", "ef", "a1true2", "x", "a-a", "bcd", "ñANDú")]
-    assert rows(e, "SELECT ROUND(2.5) AS a, ROUND(-2.5) AS b, CEIL(1.2) AS c, FLOOR(-1.2) AS d, ABS(-3) AS f, ROUND('7') AS g, LENGTH(tags) AS h FROM p WHERE id = 'd0'") == [(3.0, -3.0, 2.0, -2.0, 3, None, 2)]
+    assert rows(e, "SELECT ROUND(2.5) AS a, ROUND(-2.5) AS b, CEIL(1.2) AS c, FLOOR(-1.2) AS d, ABS(-3) AS f, ROUND('7') AS g, LENGTH(marks) AS h FROM tools WHERE id = 't1'") == [(3.0, -3.0, 2.0, -2.0, 3, None, 2)]
 
 
 def test_joins(e):
-    got = rows(e, "SELECT c.nombre, p.nombre FROM pedidos p JOIN clientes c ON p.cli = c.id ORDER BY p.nombre")
-    assert sorted(got) == [("Ana", "dos"), ("Ana", "uno"), ("Luis", "tres")]
-    left = rows(e, "SELECT p.nombre AS n, c.nombre AS c FROM pedidos p LEFT JOIN clientes c ON c.id = p.cli ORDER BY n")
-    assert left == [("dos", "Ana"), ("huérfano", None), ("tres", "Luis"), ("uno", "Ana")]
-    assert rows(e, "SELECT c.nombre AS n, SUM(p.total) AS s FROM clientes c LEFT JOIN pedidos p ON c.id = p.cli GROUP BY c.nombre ORDER BY n") == [("Ana", 30.0), ("Eva", None), ("Luis", 5.0)]
-    assert e.sql("SELECT * FROM clientes c JOIN pedidos p ON c.id = p.cli").columns == ["id", "nombre", "ciudad", "c.id", "c.nombre", "c.ciudad", "p.id", "p.cli", "p.nombre", "p.total"]
-    assert e.sql("SELECT COUNT(*) FROM pedidos p JOIN clientes c ON p.cli = c.id") == 3
+    got = rows(e, "SELECT c.name, p.name FROM loans p JOIN people c ON p.who = c.id ORDER BY p.name")
+    assert sorted(got) == [("Kim", "axe"), ("Kim", "saw"), ("Lee", "rope")]
+    left = rows(e, "SELECT p.name AS n, c.name AS c FROM loans p LEFT JOIN people c ON c.id = p.who ORDER BY n")
+    assert left == [("axe", "Kim"), ("rope", "Lee"), ("saw", "Kim"), ("tent", None)]
+    assert rows(e, "SELECT c.name AS n, SUM(p.fee) AS s FROM people c LEFT JOIN loans p ON c.id = p.who GROUP BY c.name ORDER BY n") == [("Kim", 10.0), ("Lee", 1.5), ("Max", None)]
+    assert e.sql("SELECT * FROM people c JOIN loans p ON c.id = p.who").columns == ["id", "name", "site", "c.id", "c.name", "c.site", "p.id", "p.who", "p.name", "p.fee"]
+    assert e.sql("SELECT COUNT(*) FROM loans p JOIN people c ON p.who = c.id") == 3
 
 
 def test_subqueries(e):
-    assert rows(e, "SELECT nombre FROM clientes WHERE id IN (SELECT cli FROM pedidos WHERE total > 5) ORDER BY nombre") == [("Ana",)]
-    assert rows(e, "SELECT nombre FROM clientes WHERE id NOT IN (SELECT cli FROM pedidos) ORDER BY nombre") == [("Eva",)]
-    assert rows(e, "SELECT nombre FROM clientes WHERE NOT id IN (SELECT cli FROM pedidos WHERE total > 900) AND ciudad IS NULL") == [("Eva",)]
-    assert e.sql("SELECT COUNT(*) FROM clientes WHERE EXISTS (SELECT id FROM pedidos WHERE total > 900)") == 0
-    assert rows(e, "SELECT ciudad FROM ventas GROUP BY ciudad HAVING ciudad IN (SELECT ciudad FROM clientes WHERE nombre = 'Ana')") == [("Murcia",)]
+    assert rows(e, "SELECT name FROM people WHERE id IN (SELECT who FROM loans WHERE fee > 3) ORDER BY name") == [("Kim",)]
+    assert rows(e, "SELECT name FROM people WHERE id NOT IN (SELECT who FROM loans) ORDER BY name") == [("Max",)]
+    assert rows(e, "SELECT name FROM people WHERE NOT id IN (SELECT who FROM loans WHERE fee > 900) AND site IS NULL") == [("Max",)]
+    assert e.sql("SELECT COUNT(*) FROM people WHERE EXISTS (SELECT id FROM loans WHERE fee > 900)") == 0
+    assert e.sql("SELECT COUNT(*) FROM people WHERE EXISTS (SELECT id FROM loans WHERE fee > 3)") == 3
+    assert e.sql("SELECT COUNT(*) FROM people WHERE NOT EXISTS (SELECT id FROM loans WHERE fee > 900) AND site IS NULL") == 1
+    assert e.sql("SELECT COUNT(*) FROM people WHERE EXISTS (SELECT id FROM loans WHERE fee > 900) OR name = 'Kim'") == 1
+    assert rows(e, "SELECT site FROM jobs GROUP BY site HAVING site IN (SELECT site FROM people WHERE name = 'Kim')") == [("North",)]
     with pytest.raises(EngineError):
-        e.sql("SELECT id FROM clientes c WHERE EXISTS (SELECT id FROM pedidos WHERE cli = c.id)")
+        e.sql("SELECT id FROM people c WHERE EXISTS (SELECT id FROM loans WHERE who = c.id)")
 
 
 @pytest.mark.parametrize(
     "bad",
     ["", "SELECT", "SELECT * FROM", "SELECT * FROM p WHERE", "SELECT * FROM p WHERE n ==", "SELECT * FROM p LIMIT -1", "SELECT * FROM p; SELECT 1", "SELECT NOPE(n) FROM p",
-     "SELECT UPPER() FROM p", "SELECT * FROM p WHERE COUNT(*) > 1", "SELECT n FROM p HAVING n = 1", "SELECT * FROM p JOIN ventas ON a > b", "DROP", "SELECT * FROM p WHERE n = 'x", "SELECT * FROM p ORDER BY UPPER(n)",
+     "SELECT UPPER() FROM p", "SELECT * FROM p WHERE COUNT(*) > 1", "SELECT n FROM p HAVING n = 1", "SELECT * FROM p JOIN jobs ON a > b", "DROP", "SELECT * FROM p WHERE n = 'x", "SELECT * FROM p ORDER BY UPPER(n)",
      "SELECT to FROM p", "SELECT * FROM p WHERE " + "(" * 300 + "n = 1" + ")" * 300, "SELECT '" + "x" * 300_000 + "' FROM p"],
 )
 def test_errors(bad):
@@ -81,44 +84,44 @@ def test_errors(bad):
 
 
 def test_order_and_slices(e):
-    assert [r[0] for r in rows(e, "SELECT id, precio FROM p ORDER BY precio DESC")] == ["d5", "d2", "d3", "d1", "d0", "d4"]
-    assert [r[0] for r in rows(e, "SELECT id FROM p ORDER BY stock")] == ["d1", "d3", "d5", "d2", "d4", "d0"]
-    assert [r[0] for r in rows(e, "SELECT id FROM p ORDER BY id LIMIT 2 OFFSET 3")] == ["d3", "d4"]
-    assert rows(e, "SELECT id FROM p LIMIT 0") == []
-    q = e.find("p").where("cat", "bebida").order_by("precio", "desc")
-    assert [r["id"] for r in q.get()] == ["d1", "d0", "d4"] and q.limit(1).count() == 3 and q.first()["id"] == "d1"
-    assert q.limit(-3).get() == [] and e.find("p").select("id", "absent").df().columns == ["id"]
+    assert [r[0] for r in rows(e, "SELECT id, weight FROM tools ORDER BY weight DESC")] == ["t6", "t4", "t1", "t3", "t2", "t5"]
+    assert [r[0] for r in rows(e, "SELECT id FROM tools ORDER BY spare")] == ["t2", "t4", "t1", "t5", "t3", "t6"]
+    assert [r[0] for r in rows(e, "SELECT id FROM tools ORDER BY id LIMIT 2 OFFSET 3")] == ["t4", "t5"]
+    assert rows(e, "SELECT id FROM tools LIMIT 0") == []
+    q = e.find("tools").where("kind", "measure").order_by("weight", "desc")
+    assert [r["id"] for r in q.get()] == ["t4", "t2", "t5"] and q.limit(1).count() == 3 and q.first()["id"] == "t4"
+    assert q.limit(-3).get() == [] and e.find("tools").select("id", "absent").df().columns == ["id"]
 
 
 def test_explain_and_reach(e):
-    said = e.sql("EXPLAIN SELECT id FROM ventas WHERE quien = 'ana'")
+    said = e.sql("EXPLAIN SELECT id FROM jobs WHERE who = 'lee'")
     assert said["explain"] and "Filter" in said["plan"]
-    assert e.sql("EXPLAIN DELETE FROM ventas")["coleccion"] == "ventas"
+    assert e.sql("EXPLAIN DELETE FROM jobs")["coleccion"] == "jobs"
     assert e.reach("SELECT * FROM a JOIN b ON a.x = b.y WHERE z IN (SELECT q FROM c WHERE EXISTS (SELECT w FROM d))") == {"a", "b", "c", "d"}
     assert e.reach("DELETE FROM a WHERE x IN (SELECT y FROM b)") == {"a", "b"} and e.reach("rubbish") == {"\0"}
-    guarded = Engine(e.spark, guard=lambda name: (_ for _ in ()).throw(EngineError("no")) if name == "p" else None)
+    guarded = Engine(e.spark, guard=lambda name: (_ for _ in ()).throw(EngineError("no")) if name == "tools" else None)
     guarded.given = e.given
     with pytest.raises(EngineError):
-        guarded.sql("SELECT id FROM ventas WHERE id IN (SELECT id FROM p)")
+        guarded.sql("SELECT id FROM jobs WHERE id IN (SELECT id FROM tools)")
 
 
 ARTICLES = [
-    ("a1", "Receta de tarta de chocolate", "postres", True), ("a2", "Cómo plantar tomates en casa", "huerto", True),
-    ("a3", "Tomates asados con queso", "cocina", False), ("a4", "Historia del ferrocarril", "otros", True),
+    ("a1", "Sharpening kitchen knives", "steel", True), ("a2", "Planting tulips", "garden", True),
+    ("a3", "Tulips in water", "home", False), ("a4", "How lighthouses were built", "coast", True),
 ]
 
 
 def test_similarity(spark):
-    e = Engine(spark, embedder=HashEmbedder(64)).register("art", spark.createDataFrame(ARTICLES, "id string, titulo string, zona string, publicado boolean"))
+    e = Engine(spark, embedder=HashEmbedder(256)).register("art", spark.createDataFrame(ARTICLES, "id string, title string, topic string, out boolean"))
     with pytest.raises(EngineError):
-        e.similar("art", "tomate")
-    e.enable_vectors("art", auto=("titulo",))
-    assert {r["id"] for r in e.similar("art", "tomate", 2).collect()} == {"a2", "a3"}
-    assert [r["id"] for r in e.similar("art", "tomate", 2, e.find("art").where("publicado", True)).collect()][0] == "a2"
-    got = e.sql("SELECT id FROM art WHERE publicado = TRUE AND parecido > 0.2 ORDER BY EMBEDDING <-> 'tomates' LIMIT 5")
+        e.similar("art", "tulip")
+    e.enable_vectors("art", auto=("title",))
+    assert {r["id"] for r in e.similar("art", "tulips", 2).collect()} == {"a2", "a3"}
+    assert [r["id"] for r in e.similar("art", "tulips", 2, e.find("art").where("out", True)).collect()][0] == "a2"
+    got = e.sql("SELECT id FROM art WHERE out = TRUE AND parecido > 0.2 ORDER BY EMBEDDING <-> 'tulips' LIMIT 5")
     assert got.columns == ["_score", "id"] and [r["id"] for r in got.collect()] == ["a2"]
-    assert e.sql("SELECT * FROM art ORDER BY EMBEDDING <-> 'tomates'").columns[-1] == "_score"
-    fused = e.hybrid("art", "tomates", 3).collect()
+    assert e.sql("SELECT * FROM art ORDER BY EMBEDDING <-> 'tulips'").columns[-1] == "_score"
+    fused = e.hybrid("art", "tulips", 3).collect()
     assert [r["id"] for r in fused][:2] == ["a2", "a3"] or [r["id"] for r in fused][:2] == ["a3", "a2"]
     assert fused[0]["en"] == ["significado", "palabra"]
     for bad in ("parecido > 0.1 OR id = 'a1'", "NOT parecido > 0.1", "parecido > 0.1 AND parecido < 0.9"):
@@ -134,3 +137,12 @@ def test_filters_and_columns_reach_the_scan(spark):
         assert part in pushed, pushed
     schema = next(x for x in said.splitlines() if "ReadSchema" in x)
     assert "o_orderpriority" not in schema
+
+
+def test_planning_runs_no_job(spark):
+    e = Engine(spark).register_folder("/root/testdata/sf0.001", "orders", "nation")
+    tracker, group = spark.sparkContext.statusTracker(), "planning"
+    spark.sparkContext.setJobGroup(group, group)
+    e.sql("EXPLAIN SELECT o_orderkey FROM orders WHERE EXISTS (SELECT n_name FROM nation WHERE n_nationkey > 3) OR o_orderkey = 1")
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -138,3 +138,74 @@ def test_backups(e, tmp_path):
     e.store.restore(str(tmp_path / "full"))
     assert e.collections() == ["p"]
     assert [tuple(r) for r in e.checkup().collect()] == [("p", 1, 1, True)]
+
+
+def test_equal_ids_in_one_insert(e):
+    assert e.sql("INSERT INTO p (id, a, b) VALUES ('x', 1, 5), ('y', 3, 6), ('x', 2, NULL)") == {"inserted": 3}
+    assert {r["id"]: (r["a"], r["b"]) for r in e.read("p").collect()} == {"x": (2, None), "y": (3, 6)}
+    e.merge("p", e.spark.createDataFrame([("x", 7), ("z", 1), ("x", 8)], "id string, a long").coalesce(1))
+    assert {r["id"]: r["a"] for r in e.read("p").collect()} == {"x": 8, "y": 3, "z": 1}
+
+
+def test_schema_holds_for_every_write(e, tmp_path):
+    e.define_schema("s", {"n": {"tipo": "entero", "obligatorio": True}, "t": {"tipo": "texto", "defecto": "none"}})
+    e.sql("INSERT INTO s (id, n, t) VALUES ('a', 1, 'x')")
+    (tmp_path / "bad.json").write_text('[{"id": "b", "t": "y"}]')
+    (tmp_path / "good.json").write_text('[{"id": "b", "n": 2}, {"id": "b", "n": 3}]')
+    for bad in (lambda: e.sql("UPDATE s SET n = 'text'"), lambda: e.sql("UPDATE s SET n = NULL"), lambda: e.import_("s", str(tmp_path / "bad.json")), lambda: e.put("s", "a", {"n": 1.5})):
+        with pytest.raises(EngineError):
+            bad()
+    assert dict(e.read("s").dtypes)["n"] == "bigint" and [r["n"] for r in e.read("s").collect()] == [1]
+    e.import_("s", str(tmp_path / "good.json"))
+    assert {r["id"]: (r["n"], r["t"]) for r in e.read("s").collect()} == {"a": (1, "x"), "b": (3, "none")}
+
+
+def test_two_engines_lose_no_write(e):
+    e.sql("INSERT INTO p (id, v) VALUES ('a', 1)")
+    other = Engine(e.spark, e._root)
+    e.sql("BEGIN")
+    e.sql("UPDATE p SET v = 10")
+    e.sql("INSERT INTO q (id, v) VALUES ('n', 1)")
+    other.sql("UPDATE p SET v = 20")
+    other.define_ttl("r", 5)
+    with pytest.raises(EngineError):
+        e.sql("COMMIT")
+    assert [r["v"] for r in e.read("p").collect()] == [20] and e.collections() == ["p", "r"]
+    e.sql("INSERT INTO p (id, v) VALUES ('b', 2)")
+    assert ids(other) == ["a", "b"]
+    e.store.set("p", ttl=None)
+    assert set(Engine(e.spark, e._root).store.collections) == {"p", "r"}
+
+
+def test_locks(e, tmp_path):
+    from tesserae.sources import store
+
+    e.sql("INSERT INTO p (id, v) VALUES ('a', 1)")
+    lock = tmp_path / "db" / "write.lock"
+    lock.write_text("{}")
+    before = store.PATIENCE, store.LEASE
+    try:
+        store.PATIENCE = 0.2
+        with pytest.raises(EngineError):
+            e.sql("DELETE FROM p")
+        store.LEASE = -1  # its writer is dead
+        e.sql("DELETE FROM p")
+    finally:
+        store.PATIENCE, store.LEASE = before
+    assert ids(e) == [] and not lock.exists()
+
+
+def test_vacuum_and_damaged_backups(e, tmp_path):
+    e.sql("INSERT INTO p (id, v) VALUES ('a', 1)")
+    e.sql("UPDATE p SET v = 2")
+    assert e.store.vacuum() == 0 and e.store.vacuum(-1) == 1 and [r["v"] for r in e.read("p").collect()] == [2]
+    e.backup(str(tmp_path / "b"))
+    part = next((tmp_path / "b" / "files").rglob("*.parquet"))
+    whole = part.read_bytes()
+    part.write_bytes(whole[:-1] + b"x")
+    with pytest.raises(EngineError):
+        e.restore(str(tmp_path / "b"))
+    part.write_bytes(whole)
+    e.sql("DELETE FROM p")
+    e.restore(str(tmp_path / "b"))
+    assert ids(e) == ["a"]
