@@ -13,12 +13,17 @@ line and all its variants with one word left out are emitted as hashed keys. Equ
 same words after deletion at the same place differ by an exchange there, and a
 line that equals another's variant by a word put in. So a group of any size
 yields its earliest member and never its pairs. The pair (line, earliest
-partner) is then verified on the words themselves.
+partner) is then verified on the words themselves. Keys that a large part of
+all rows may share (a half, a variant, a partner, a line) are joined by
+``join_skewed``.
+
+What goes from a document is a mask of bits, and its text is cut on the JVM in
+time linear in its lines; only documents that lose a line meet their masks.
 
 Defined results: null texts stay null and have 0 lines; a document all of
 whose lines go keeps an empty text. Rows with equal doc_id and text count as
-one document, and each gets its result. Other columns are carried along
-(internal names start with ``__ld_``).
+one document, and each gets its result. Other columns are carried along,
+whatever their names, but for n_lines, n_exact and n_near, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,22 +31,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, documents, join_skewed, map_batches, materialize, text_or_empty, texts_of
+from .common import documents, join_skewed, map_batches, materialize, spare_prefix, text_or_empty, texts_of
 
 #: Least words of both lines of a near-duplicate pair.
 MIN_WORDS = 5
 #: Bits of the filters that spare rows a shuffle; their size is fixed, so with very much data they only spare less.
-FILTER_BITS = 1 << 20
+FILTER_BITS, KEY_BITS = 1 << 20, 1 << 22
 MASK = (1 << 64) - 1
 LINES = "doc_id long, th long, line_no int, h1 long, h2 long, keys array<long>"
-WORDS = "doc_id long, th long, line_no int, h1 long, h2 long, words string"
-VARIANTS = "own decimal(38,0), h1 long, h2 long, pos int, v1 long, v2 long"
+WORDS = "doc_id long, th long, line_no int, h1 long, h2 long, words string, keys array<long>"
+VARIANTS = "id long, pos int, v1 long, v2 long"
 
 
 def own() -> Column:
@@ -124,8 +128,8 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 
 def words_where(docs: DataFrame, on: np.ndarray) -> DataFrame:
-    """The words of lines whose bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast(on)  # FILTER_BITS flags
+    """The words and half keys of lines of which a key's bit is set."""
+    shared = docs.sparkSession.sparkContext.broadcast(on)  # KEY_BITS flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -135,9 +139,9 @@ def words_where(docs: DataFrame, on: np.ndarray) -> DataFrame:
                     for k, line in enumerate(text.lower().split("\n")):
                         words = line.split()
                         if len(words) >= MIN_WORDS:
-                            h = hash_pair(words)
-                            if flags[h[0] % FILTER_BITS]:
-                                yield doc_id, th, k, *h, " ".join(words)
+                            keys = half_keys(words)
+                            if any(flags[x % KEY_BITS] for x in keys):
+                                yield doc_id, th, k, *hash_pair(words), " ".join(words), keys
 
         yield from _in_parts(rows(), WORDS)
 
@@ -150,15 +154,15 @@ def variants_of(lines: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
-                for place, h1, h2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                for id_, h1, h2, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                     words = text.split(" ")
-                    yield place, h1, h2, -1, h1, h2
+                    yield id_, -1, h1, h2
                     for i in range(len(words)):
-                        yield place, h1, h2, i, *hash_pair(words[:i] + words[i + 1 :])
+                        yield id_, i, *hash_pair(words[:i] + words[i + 1 :])
 
         yield from _in_parts(rows(), VARIANTS)
 
-    return map_batches(lines.select("own", "h1", "h2", "words"), run, VARIANTS)
+    return map_batches(lines.select("id", "h1", "h2", "words"), run, VARIANTS)
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -177,72 +181,85 @@ def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h1 and h2 of the lines that have an earlier line one edit away."""
     keyed = lines.where("keys is not null").select("h1", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("key")
-    able = materialize(keyed.join(shared, "key", "left_semi").distinct().select("h1").distinct(), "able-lines")
-    on = np.zeros(FILTER_BITS, bool)
-    # at most FILTER_BITS numbers
-    on[able.select(F.pmod("h1", F.lit(FILTER_BITS)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
-    if not on.any():
-        return able.select("h1", F.col("h1").alias("h2")).limit(0)
-    found = words_where(docs, on).withColumn("own", own()).join(able, "h1", "left_semi")
-    able_lines = found.groupBy("h1", "h2").agg(F.min("own").alias("own"), F.first("words").alias("words"))
-    able_lines = materialize(able_lines, "line-words")
+    shared = materialize(shared, "shared-halves")
+    on = np.zeros(KEY_BITS, bool)
+    # at most KEY_BITS numbers
+    on[shared.select(F.pmod("key", F.lit(KEY_BITS)).cast("int").alias("b")).distinct().toArrow().column("b").to_numpy()] = True
+    found = words_where(docs, on).withColumn("own", own())
+    found = materialize(found.groupBy("h1", "h2").agg(F.min("own").alias("own"), F.first("words").alias("words"), F.first("keys").alias("keys")), "line-words")
+    keyed = found.select("h1", F.explode("keys").alias("key"))
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(shared, "key", "left_semi")
+    able = join_skewed(keyed, materialize(counted, "line-halves"), ["key"], "n").select("h1").distinct()
+    # ids in the lines' order: a long each, where the order itself takes three numbers
+    ordered = found.drop("keys").join(able, "h1", "left_semi").orderBy("own").drop("own")
+    able_lines = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "ordered-lines")
 
     v = materialize(variants_of(able_lines), "line-variants")
     met = v.groupBy("v1", "v2").agg(
-        F.min(F.when(F.col("pos") < 0, F.col("own"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("own"))).alias("cut"),
-        F.min("own").alias("a"), F.max("own").alias("b"),
-    ).where("a < b").drop("a", "b")
-    met = materialize(v.join(met, ["v1", "v2"]), "line-meetings")
-    by_place = met.where("pos >= 0").groupBy("v1", "v2", "pos").agg(F.min("own").alias("here"), F.max("own").alias("b")).where("here < b").drop("b")
-    met = met.join(by_place, ["v1", "v2", "pos"], "left")
-    partner = F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.least("whole", "here"))
-    earlier = met.withColumn("partner", partner).where("partner < own")
-    nearest = earlier.groupBy("h1", "h2").agg(F.min("partner").alias("partner"))
-    others = able_lines.select(F.col("own").alias("partner"), F.col("words").alias("other"))
-    return _verified(nearest.join(able_lines.select("h1", "h2", "words"), ["h1", "h2"]).join(others, "partner"))
-
-
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def one(t, g):
-        if t is None or g is None or not len(g):
-            return t
-        drop = set(g)
-        return "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
-
-    return pd.Series([one(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
+        F.min(F.when(F.col("pos") < 0, F.col("id"))).alias("whole"), F.min(F.when(F.col("pos") >= 0, F.col("id"))).alias("cut"),
+        F.max("id").alias("last"), F.count(F.lit(1)).alias("n"),
+    ).where("least(whole, cut) < last").drop("last")
+    met = materialize(join_skewed(v, materialize(met, "line-keys"), ["v1", "v2"], "n").drop("n"), "line-meetings")
+    here = met.where("pos >= 0").groupBy("v1", "v2", "pos").agg(F.min("id").alias("here"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    here = materialize(here.where("here < last").drop("last"), "line-places")
+    by_key = met.select("id", F.when(F.col("pos") < 0, F.col("cut")).otherwise(F.col("whole")).alias("partner"))
+    by_place = join_skewed(met.where("pos >= 0"), here, ["v1", "v2", "pos"], "n").select("id", F.col("here").alias("partner"))
+    nearest = by_key.union(by_place).where("partner < id").groupBy("id").agg(F.min("partner").alias("partner"))
+    nearest = materialize(nearest.join(able_lines, "id"), "line-partners")
+    others = able_lines.select(F.col("id").alias("partner"), F.col("words").alias("other"))
+    others = others.join(nearest.groupBy("partner").agg(F.count(F.lit(1)).alias("n")), "partner")
+    return _verified(join_skewed(nearest, materialize(others, "first-lines"), ["partner"], "n"))
+
+
+#: Lines of a document that one number's bits stand for.
+MASK_BITS = 63
+
+
+def masks(gone: DataFrame) -> DataFrame:
+    """doc_id, th, mask (an array of longs, a bit a line that goes), n_gone and n_exact; gone: doc_id, th, line_no and exact."""
+    bit = F.expr(f"shiftleft(1L, line_no % {MASK_BITS})")
+    words = gone.groupBy("doc_id", "th", F.expr(f"line_no div {MASK_BITS}").cast("int").alias("w")).agg(
+        F.bit_or(bit).alias("gone"), F.bit_or(F.when(F.col("exact"), bit).otherwise(F.lit(0).cast("long"))).alias("exact")
+    )
+    held = words.groupBy("doc_id", "th").agg(
+        F.map_from_entries(F.collect_list(F.struct("w", "gone"))).alias("m"), F.max("w").alias("last"),
+        F.sum(F.bit_count("gone")).cast("int").alias("n_gone"), F.sum(F.bit_count("exact")).cast("int").alias("n_exact"),
+    )
+    return held.withColumn("mask", F.expr("transform(sequence(0, last), w -> coalesce(try_element_at(m, w), 0L))")).drop("m", "last")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with text reduced to the lines that stay, n_lines, n_exact and n_near."""
-    bounded_batches(docs.sparkSession)
     work = docs.drop("n_lines", "n_exact", "n_near")
     slim = work.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
     lines = materialize(split_lines(slim), "lines")
-    placed = lines.select("doc_id", "th", "line_no", "h1", "h2", own().alias("own"))
-    groups = placed.groupBy("h1", "h2").agg(F.min("own").alias("first"), F.count(F.lit(1)).alias("n"))
+    placed = lines.select("doc_id", "th", "line_no", "h1", "h2")
+    groups = placed.groupBy("h1", "h2").agg(F.min(own()).alias("first"), F.count(F.lit(1)).alias("n"))
     near = materialize(near_lines(slim, lines).distinct().withColumn("near", F.lit(True)), "near-lines")
     # lines that stand once and have no partner need no decision
     decided = groups.join(near, ["h1", "h2"], "left").where("n > 1 or near").select("h1", "h2", "first", "near", "n")
-    gone = join_skewed(placed, materialize(decided, "line-decisions"), ["h1", "h2"], "n").withColumn("exact", F.col("own") != F.col("first")).where("exact or near")
-    gone = gone.groupBy("doc_id", "th").agg(
-        F.collect_set("line_no").alias("__ld_gone"), F.collect_set(F.when(F.col("exact"), F.col("line_no"))).alias("__ld_exact"),
-    )
-    gone = materialize(gone.select(F.col("doc_id").alias("__ld_doc"), F.col("th").alias("__ld_th"), "__ld_gone", F.size("__ld_exact").alias("__ld_exact")), "gone-lines")
+    gone = join_skewed(placed, materialize(decided, "line-decisions"), ["h1", "h2"], "n").withColumn("exact", own() != F.col("first")).where("exact or near")
+    gone = materialize(masks(gone), "gone-lines")
 
     # documents that keep all lines need not meet the others: at most FILTER_BITS marks tell most of them
-    marks = F.broadcast(gone.select(bit("__ld_doc", "__ld_th").alias("__ld_bit")).distinct())
-    keyed = work.withColumn("__ld_key", F.xxhash64(text_or_empty()))
-    keyed = keyed.withColumn("__ld_at", bit("doc_id", "__ld_key"))
-    whole = keyed.join(marks, F.col("__ld_at") == F.col("__ld_bit"), "left_anti")
-    cut = keyed.join(marks, F.col("__ld_at") == F.col("__ld_bit"), "left_semi")
-    same = F.col("doc_id").eqNullSafe(F.col("__ld_doc")) & (F.col("__ld_key") == F.col("__ld_th"))
-    cut = cut.join(gone, same, "left")
+    p = spare_prefix(work, "__ld")
+    gone = gone.select(*[F.col(c).alias(f"{p}_{c}") for c in gone.columns])
+    marks = F.broadcast(gone.select(bit(f"{p}_doc_id", f"{p}_th").alias(f"{p}_bit")).distinct())
+    keyed = work.withColumn(f"{p}_key", F.xxhash64(text_or_empty()))
+    keyed = keyed.withColumn(f"{p}_at", bit("doc_id", f"{p}_key"))
+    marked = F.col(f"{p}_at") == F.col(f"{p}_bit")
+    same = F.col("doc_id").eqNullSafe(F.col(f"{p}_doc_id")) & (F.col(f"{p}_key") == F.col(f"{p}_th"))
+    cut = keyed.join(marks, marked, "left_semi").join(gone, same, "left")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).alias("n_lines")
-    n_exact = F.coalesce("__ld_exact", F.lit(0))
-    cut = cut.select(
-        *[(F.pandas_udf(_without, "string")(F.col("text"), F.col("__ld_gone")) if c == "text" else F.col(f"`{c}`")).alias(c) for c in work.columns],
-        n_lines, n_exact.alias("n_exact"), (F.coalesce(F.size("__ld_gone"), F.lit(0)) - n_exact).alias("n_near"),
-    )
+    n_exact, n_gone = F.coalesce(f"{p}_n_exact", F.lit(0)), F.coalesce(f"{p}_n_gone", F.lit(0))
+
+    def stays(_, i):
+        word = F.coalesce(F.get(F.col(f"{p}_mask"), F.floor(i / MASK_BITS).cast("int")), F.lit(0).cast("long"))
+        return F.getbit(word, F.pmod(i, F.lit(MASK_BITS))) == 0
+
+    left = F.when(n_gone > 0, F.array_join(F.filter(F.split("text", "\n", -1), stays), "\n")).otherwise(F.col("text"))
+    cut = cut.select(*[(left if c == "text" else F.col(f"`{c}`")).alias(c) for c in work.columns], n_lines, n_exact.alias("n_exact"), (n_gone - n_exact).alias("n_near"))
+    whole = keyed.join(marks, marked, "left_anti")
     whole = whole.select(*[F.col(f"`{c}`") for c in work.columns], n_lines, F.lit(0).alias("n_exact"), F.lit(0).alias("n_near"))
     return cut.union(whole)
 

@@ -84,3 +84,18 @@ def test_one_edit_is_strict():
     assert not one_edit("a b c d e".split(), "a x c y e".split())
     assert not one_edit("a b c d e".split(), "b a c d e".split())
     assert not one_edit("a b c".split(), "a b c d e".split())
+
+
+def test_columns_of_any_name_are_carried_along(spark):
+    df = spark.createDataFrame([(1, "a line of five words", 7, "x"), (2, "a line of five words\nrest", 8, "y")], "doc_id long, text string, `__ld_key` long, `__LD_a.b` string")
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_exact", "n_near"]
+    assert {tuple(r) for r in out.collect()} == {(1, "a line of five words", 7, "x", 1, 0, 0), (2, "rest", 8, "y", 2, 1, 0)}
+
+
+def test_a_template_line_with_very_many_variants(spark):
+    rows = [(k, f"this line is shared by all of them but for word{k}\n{'same start of the line ' * 2} {k}") for k in range(600)]
+    df = spark.createDataFrame([*rows, (900, "\n".join(t.split("\n")[0] for _, t in rows))], "doc_id long, text string").repartition(4)
+    want = brute([(r["doc_id"], r["text"]) for r in df.collect()])
+    assert {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in linededup.dedup_lines(df).collect()} == want
+    assert want[900] == ("", 600, 0) and want[0][2] == 0 and want[599][0] == ""
