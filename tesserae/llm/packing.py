@@ -49,7 +49,7 @@ TOLERANCE, STEPS = 1e-3, 600
 #: Solutions in turn: each one's rounding leaves pieces to the next.
 ROUNDS = 4
 #: Planned combinations at most; with more sequences than that, counts are rounded to multiples.
-PATTERNS = 1 << 16
+PATTERNS = 1 << 14
 #: Parts in which the pieces of a length are numbered.
 SLICES = 256
 #: White space of this length is a piece that the splitting pattern need not look at.

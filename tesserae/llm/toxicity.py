@@ -8,7 +8,7 @@ the documents of each class which hold an n-gram. A document is toxic if one
 of its passages is: training takes each document's most toxic passage, chosen
 anew in each round; a last step fits the slope and shift of the log-odds to
 both classes. Every passage of a whole text
-is scored (windows of WIDTH words, half overlapping) and the largest counts.
+is scored (each run of WIDTH words) and the largest counts.
 As the model is linear in the average, a word adds one number to the log-odds,
 kept in a bounded table of words; unseen spellings get theirs from n-grams.
 
@@ -62,11 +62,10 @@ def grams_of(word: str) -> list[int]:
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the passages of n words; the last one ends with the text."""
+    """Starts and ends of the passages of n words: one at every word that WIDTH words begin with."""
     if n <= WIDTH:
         return np.array([0]), np.array([n])
-    starts = np.arange(0, n - WIDTH, WIDTH // 2)
-    starts = np.append(starts, n - WIDTH)
+    starts = np.arange(n - WIDTH + 1)
     return starts, starts + WIDTH
 
 

@@ -32,6 +32,52 @@ def test_toxicity_on_held_out_labels(spark):
     assert all(p == (s >= 0.7) for _, s, p in found)
 
 
+def test_toxicity_recall_and_precision(spark):
+    """Held-out toxic documents of a larger table: an answer that is always the same fails."""
+    sf = "/root/testdata/sf0.1"
+    rows = documents(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("toxic is not null").select("doc_id", "text", "toxic").collect()
+    out = [zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1 for r in rows]
+    model = toxicity.fit([r["text"] for r, o in zip(rows, out, strict=True) if not o], [r["toxic"] for r, o in zip(rows, out, strict=True) if not o])
+    found = [(r["toxic"], model.score(r["text"]) >= toxicity.THRESHOLD) for r, o in zip(rows, out, strict=True) if o]
+    caught = sum(y and p for y, p in found)
+    assert caught >= 0.85 * sum(y for y, _ in found) and caught >= 0.85 * sum(p for _, p in found)
+
+
+def test_every_passage_counts():
+    texts, y = made(300)
+    model = toxicity.fit(texts, y)
+    for k in range(8):  # wherever it begins
+        assert model.score("mnr " * k + "idiot worthless idiot worthless " + texts[1]) >= 0.7
+    starts, ends = toxicity.windows(7)
+    assert starts.tolist() == [0, 1, 2, 3] and ends.tolist() == [4, 5, 6, 7]
+
+
+def plain_pooling(vectors, text):
+    """Mean and spread of the tokens' vectors, token by token."""
+    ids = [vectors.number.get(w, int(not w[0].isalnum())) for w in quality.tokens_of(text)]
+    rows = [vectors.table[i].astype(float) for i in ids]
+    mean = sum(rows) / len(rows)
+    return np.concatenate([mean, np.sqrt(np.maximum(sum(r**2 for r in rows) / len(rows) - mean**2, 0))])
+
+
+def test_vectors_and_pooling_against_plain_loops():
+    texts, _ = made(40)
+    vectors = quality.Vectors(texts)
+    for t in texts[:5] + ["UNSEEN words !!", "a"]:
+        assert np.allclose(vectors.pooled(vectors.ids(quality.tokens_of(t))), plain_pooling(vectors, t), atol=1e-5)
+    names = list(vectors.number)
+    bags = [[vectors.number.get(w, int(not w[0].isalnum())) for w in quality.tokens_of(t)] for t in texts]
+    index = np.stack([quality.index_vector(w) for w in names])
+    for i in (2, len(names) // 2, len(names) - 1):
+        total = index[i].copy()
+        for bag in bags:
+            for at, word in enumerate(bag):
+                if word == i:
+                    total += sum(index[bag[k]] for k in range(max(0, at - quality.REACH), min(len(bag), at + quality.REACH + 1)) if k != at)
+        total = np.sign(total) * np.log1p(np.abs(total)) + index[i]
+        assert np.allclose(vectors.table[i], total / np.linalg.norm(total), atol=1e-5)
+
+
 def made(n, seed=1):
     rng = np.random.default_rng(seed)
     clean = ["".join(rng.choice(list("aeioumnrst"), rng.integers(2, 8))) for _ in range(400)]
