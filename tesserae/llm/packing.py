@@ -67,10 +67,12 @@ def combinations(lengths: np.ndarray, window: int) -> list[np.ndarray]:
     b = window - lengths
     ok = (lengths <= b) & (where[b] >= 0)
     pairs = np.stack([np.flatnonzero(ok), where[b[ok]]], axis=1)
-    i, j = np.triu_indices(len(lengths))
-    c = window - lengths[i] - lengths[j]
-    ok = (c >= lengths[j]) & (where[np.clip(c, 0, window)] >= 0)
-    triples = np.stack([i[ok], j[ok], where[c[ok]]], axis=1)
+    triples = [np.zeros((0, 3), np.int32)]
+    for i in range(len(lengths)):
+        c = window - lengths[i] - lengths[i:]
+        j = np.flatnonzero((c >= lengths[i:]) & (where[np.clip(c, 0, window)] >= 0))
+        triples.append(np.stack([np.full(len(j), i), j + i, where[c[j]]], axis=1).astype(np.int32))
+    triples = np.concatenate(triples)
     return [p for p in (pairs, triples) if len(p)]
 
 
@@ -114,12 +116,12 @@ def rounded(x: np.ndarray, rows: np.ndarray, left: np.ndarray) -> list[tuple[int
     unit = max(1, int(left.sum()) // PATTERNS)
     out, carry, stock = [], 0.0, left.tolist()
     at = np.flatnonzero(x > 0)
-    for k, wanted, row in zip(at.tolist(), x[at].tolist(), rows[at].tolist(), strict=True):
+    for k, wanted, row in ((int(k), float(x[k]), rows[k]) for k in at):
         carry += wanted
         n = int(carry / unit + 0.5) * unit
         if n <= 0:
             continue
-        row = [i for i in row if i >= 0]
+        row = [i for i in row.tolist() if i >= 0]
         n = min(n, *(stock[i] // row.count(i) for i in row))
         if n > 0:
             for i in row:
@@ -265,7 +267,9 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> Data
     whole = total // window
 
     runs = spark.createDataFrame(runs, "length long, used long, base long")
-    places = spark.createDataFrame(places, "length long, lo long, hi long, sequence long, place long")  # 3 * ROUNDS * PATTERNS rows at most
+    # 3 * ROUNDS * PATTERNS rows at most
+    columns = np.array(places, np.int64).reshape(-1, 5).T
+    places = spark.createDataFrame(pa.table([pa.array(c) for c in columns], ["length", "lo", "hi", "sequence", "place"]))
     at = _numbered(rest).join(F.broadcast(runs), "length")
     inside = (at["length"] == places["length"]) & (F.col("number") >= F.col("lo")) & (F.col("number") < F.col("hi"))
     at = at.join(F.broadcast(places), inside, "left").drop(places["length"])
