@@ -19,24 +19,30 @@ BATCH_ROWS = 2048
 BATCH_BYTES = 8 << 20
 
 
+def _own_folder(spark: SparkSession, root: str) -> str:
+    return f"{root.rstrip('/')}/tesserae/{spark.sparkContext.applicationId}"
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared checkpoint folder; a local one is set only where none is."""
+    """A new path below the shared checkpoint folder; a local one is set only where none is and there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local"):
             root = "file://" + tempfile.mkdtemp(prefix="tesserae-")
             spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/tesserae/{tag}-{uuid.uuid4().hex}"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{_own_folder(spark, root)}/{tag}-{uuid.uuid4().hex}"
 
 
 def clear_shared(spark: SparkSession) -> None:
-    """Remove all tables in between below the shared folder; for the end of a job, when no result is still to be read."""
+    """Remove this application's tables in between below the shared folder; for the end of a job, when no result is still to be read."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/tesserae")
+        path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark, root))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -37,8 +37,6 @@ TOLERANCE = 0.005
 SLICES = 256
 TOP = 1 << 63
 
-OP10_SQL = None
-
 
 @dataclass
 class Probe:
