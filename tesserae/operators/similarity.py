@@ -87,10 +87,12 @@ def nearest(df: DataFrame, vec: str, key: str, query, k: int = 10, mode: str = "
     q = unit(query)
     if len(q) % 8:
         raise EngineError("a vector's length is a multiple of 8")
-    rows = df.where(F.size(vec) == len(q)).withColumn(vec, normalised(F.col(vec)))
+    rows = df.where(F.size(vec) == len(q))
     most = candidates(mode, k)
     if most is not None:
+        # signs do not depend on the length: only the candidates are normalised
         rows = rows.withColumn("__ham", hamming(F.col(vec), q)).orderBy("__ham", key).limit(most).drop("__ham")
+    rows = rows.withColumn(vec, normalised(F.col(vec)))
     return rows.withColumn("score", cosine(F.col(vec), q)).orderBy(F.desc("score"), key).limit(k)
 
 
