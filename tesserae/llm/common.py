@@ -7,6 +7,8 @@ executor can read, so a lost executor costs a re-read and not a recomputation.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -88,6 +90,13 @@ def spare_prefix(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
+def give_back() -> None:
+    """Return memory that the C library keeps of freed arrays, where it can be told to; for the driver after a fit."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 
 #: Most labelled documents that a classifier is fitted on.
 FIT_DOCS = 6000
@@ -43,3 +44,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most:
     if lost := over - set(ys):
         warnings.warn(f"{label}: no text of label {sorted(lost)} fits {FIT_CHARS} characters", stacklevel=2)
     return texts, ys
+
+
+def fitted(fit: Callable, docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int):
+    """fit(texts, labels) of the sample; what fitting held besides the model is given back."""
+    model = fit(*sample(docs, labels, label, learn, most))
+    give_back()
+    return model

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import SPACE, byte_alphabet
-from .common import documents, map_batches, materialize, texts_of
+from .common import documents, give_back, map_batches, materialize, texts_of
 
 WINDOW = 2048
 #: The id that ends a document.
@@ -257,6 +257,7 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> Data
     found = sorted((r["length"], r["n"]) for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())  # window - 1 rows at most
     lengths, hist = np.array([a for a, _ in found], np.int64), np.array([b for _, b in found], np.int64)
     places, used, sequences = intervals(plan(hist, lengths, window))
+    give_back()
 
     # what the plan leaves of each length stands in the run from ``base`` on, longest first
     runs, total = [], 0

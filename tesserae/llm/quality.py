@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, table, texts_of
-from .labelled import FIT_DOCS, fold, sample
+from .labelled import FIT_DOCS, fitted, fold
 
 DIMS, HIDDEN = 96, 24
 #: Entries of an index vector that are not 0, and neighbours on each side.
@@ -194,7 +194,7 @@ def score_texts(docs: DataFrame, model: Model | Constant) -> DataFrame:
 
 def train_quality(spark: SparkSession, sf_dir: str, most: int = FIT_DOCS) -> Model | Constant:
     """Fitted on at most ``most`` labelled documents outside the held-out fold."""
-    return fit(*sample(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "quality", fold(5) != 0, most))
+    return fitted(fit, documents(spark, sf_dir), table(spark, sf_dir, "labels"), "quality", fold(5) != 0, most)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, map_batches, table, texts_of
-from .labelled import FIT_DOCS, fold, sample
+from .labelled import FIT_DOCS, fitted, fold
 
 BUCKETS, DIMS = 1 << 16, 8
 GRAMS = (3, 4, 5, 6)
@@ -205,7 +205,7 @@ def score_texts(docs: DataFrame, model: Model | Constant) -> DataFrame:
 
 def train_toxicity(spark: SparkSession, sf_dir: str, most: int = FIT_DOCS) -> Model | Constant:
     """Fitted on at most ``most`` labelled documents outside the held-out fold."""
-    return fit(*sample(documents(spark, sf_dir), table(spark, sf_dir, "labels"), "toxic", fold(3) != 1, most))
+    return fitted(fit, documents(spark, sf_dir), table(spark, sf_dir, "labels"), "toxic", fold(3) != 1, most)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
