@@ -1,3 +1,5 @@
+from collections import Counter
+
 import corpus_pipeline
 from tesserae.llm import quality, toxicity
 from tesserae.llm.common import documents
@@ -42,3 +44,48 @@ def test_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns[:3] == ["doc_id", "start", "length"] and out.count() > 0
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def rows_of(df):
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_stages_on_odd_rows(spark, docs, none, sf):
+    """Null and empty texts, a null id, repeated rows, a very long text and a column of another table's name."""
+    rows = rows_of(docs)
+    at = docs.columns.index("text")
+    model = quality.train_quality(spark, sf)
+    good = corpus_pipeline.good_quality(spark, docs, sf)
+    assert good.schema == docs.schema
+    assert rows_of(good) == Counter({r: n for r, n in rows.items() if model.scores([r[at] or ""])[0] >= quality.THRESHOLD})
+
+    model = toxicity.train_toxicity(spark, sf)
+    clean = corpus_pipeline.not_toxic(spark, docs, sf)
+    assert clean.schema == docs.schema
+    assert rows_of(clean) == Counter({r: n for r, n in rows.items() if model.score(r[at] or "") < toxicity.THRESHOLD})
+
+    lines = corpus_pipeline.unique_lines(spark, docs, sf)
+    assert lines.columns == docs.columns and lines.count() == docs.count()
+    assert [r["text"] for r in lines.where("doc_id in (2, 3)").orderBy("doc_id").collect()] == [None, ""]
+
+    # 2, 3 and 8 have no words and are one group; rows of one id are one document; a row without an id stays
+    one = corpus_pipeline.one_of_each(spark, docs, sf)
+    assert one.columns == docs.columns
+    assert rows_of(one) == Counter({r: n for r, n in rows.items() if r[0] not in (3, 8)})
+
+    last = corpus_pipeline.packed(spark, docs, sf)
+    assert {r["doc_id"] for r in last.collect()} == {r[0] for r in rows}
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf).collect() == []
+
+
+def test_run_on_odd_and_empty_tables(spark, docs, none, sf, tmp_path):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    for name, rows, marks in (("odd", docs, labels), ("empty", none, labels.limit(0))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns[:3] == ["doc_id", "start", "length"]
+        # a fit on rows of one class, or of none, keeps texts too
+        assert bool(out.count()) == (name == "odd")
