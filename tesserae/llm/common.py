@@ -11,6 +11,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +66,14 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow over bounded batches; fn takes and gives an iterator of record batches."""
+    """mapInArrow over bounded batches; fn takes and gives an iterator of record batches. Workers outlive tasks, so each gives back what it held."""
     bounded_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:
@@ -91,8 +97,9 @@ def spare_prefix(df: DataFrame, prefix: str) -> str:
 
 
 def give_back() -> None:
-    """Return memory that the C library keeps of freed arrays, where it can be told to; for the driver after a fit."""
+    """Return memory that Arrow and the C library keep of freed arrays, where they can be told to; after a task or a fit."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 

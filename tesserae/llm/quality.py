@@ -37,6 +37,8 @@ SPARSE, REACH = 6, 2
 #: Sample documents that hold a token at least, for it to have a vector of its own.
 LEAST_DOCS = 3
 STEPS, BATCH, RATE, DECAY = 1500, 128, 0.003, 1e-4
+#: Rows of the table that are weighted at a time.
+BLOCK = 4096
 #: Part of the sample that only sets the temperature.
 CALIBRATE = 0.2
 THRESHOLD = 0.3
@@ -65,10 +67,17 @@ def tokens_of(text: str) -> list[str]:
     return out
 
 
-def index_vector(token: str) -> np.ndarray:
+def index_entries(token: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of a token's index vector; it is 0 elsewhere."""
     rng = np.random.default_rng(zlib.crc32(token.encode("utf-8", "surrogatepass")))
+    signs = rng.choice([-1.0, 1.0], SPARSE)
+    return rng.choice(DIMS, SPARSE, replace=False), signs
+
+
+def index_vector(token: str) -> np.ndarray:
     v = np.zeros(DIMS)
-    v[rng.choice(DIMS, SPARSE, replace=False)] = rng.choice([-1.0, 1.0], SPARSE)
+    at, signs = index_entries(token)
+    v[at] = signs
     return v
 
 
@@ -88,20 +97,29 @@ class Vectors:
         final = np.array([int(not w[0].isalnum()) for w in tokens], np.int32)
         final[kept] = np.arange(2, len(names))
         self.bags = [final[b] for b in bags]  # of the sample, for fitting only
-        index = np.empty((len(names), DIMS), np.float32)
+        del first, tokens, held, bags
+        n = len(names)
+        at, signs = np.empty((n, SPARSE), np.int64), np.empty((n, SPARSE), np.float32)
         for i, w in enumerate(names):
-            index[i] = index_vector(w)
-        total, n = index.copy(), len(names)
+            at[i], signs[i] = index_entries(w)
+        total = np.zeros((n, DIMS), np.float32)
+        np.put_along_axis(total, at, signs, 1)
+        sums = total.reshape(-1)
         for ids in self.bags:
             wide = ids.astype(np.int64)
             for k in range(1, REACH + 1):
                 if len(ids) > k:
                     pairs, times = np.unique(wide[:-k] * n + wide[k:], return_counts=True)
                     a, b, t = pairs // n, pairs % n, times[:, None].astype(np.float32)
-                    np.add.at(total, a, index[b] * t)
-                    np.add.at(total, b, index[a] * t)
-        total = np.sign(total) * np.log1p(np.abs(total)) + index
-        self.table = (total / np.linalg.norm(total, axis=1, keepdims=True)).astype(np.float32)
+                    np.add.at(sums, (a[:, None] * DIMS + at[b]).ravel(), (signs[b] * t).ravel())
+                    np.add.at(sums, (b[:, None] * DIMS + at[a]).ravel(), (signs[a] * t).ravel())
+        for i in range(0, n, BLOCK):
+            part = total[i : i + BLOCK]
+            index = np.zeros_like(part)
+            np.put_along_axis(index, at[i : i + BLOCK], signs[i : i + BLOCK], 1)
+            part = np.sign(part) * np.log1p(np.abs(part)) + index
+            total[i : i + BLOCK] = part / np.linalg.norm(part, axis=1, keepdims=True)
+        self.table = total
 
     def ids(self, bag: list[str]) -> np.ndarray:
         get = self.number.get

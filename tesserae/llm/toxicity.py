@@ -46,6 +46,8 @@ TOXIC_WEIGHT = 3.0
 SLOPES = (0.5, 3.0)
 #: Documents without evidence that each n-gram's start counts besides.
 PRIOR = 10.0
+#: Words of the sample that are weighed at a time.
+BLOCK = 1 << 14
 #: Words remembered by a worker.
 REMEMBER = 150_000
 THRESHOLD = 0.7
@@ -105,8 +107,9 @@ class Constant:
         return self.share
 
 
-def _sums(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(at, values[:, k], n) for k in range(values.shape[1])], 1)
+def _sums(values: np.ndarray, take: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The rows that ``take`` names of values, summed where ``at`` puts them, one column at a time."""
+    return np.stack([np.bincount(at, column[take], n) for column in values.T], 1)
 
 
 def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
@@ -115,11 +118,12 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
     bags = [np.array([number.setdefault(w, len(number)) for w in words_of(t.lower())] or [number.setdefault("", len(number))], np.int32) for t in texts]
-    flat, bounds = array("i"), array("q", [0])
+    flat, bounds = array("H"), array("q", [0])  # BUCKETS numbers fit 16 bits
     for w in number:
         flat.extend(grams_of(w))
         bounds.append(len(flat))
-    gram, bounds = np.frombuffer(flat, np.int32), np.frombuffer(bounds, np.int64)
+    del number
+    gram, bounds = np.frombuffer(flat, np.uint16), np.frombuffer(bounds, np.int64)
     sizes = np.diff(bounds)
     label = np.array(y)
     share = np.array([1 - label.mean(), label.mean()])
@@ -145,13 +149,13 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
         inverse = 1 / sizes[there]
         for _ in range(STEPS):
             emb, soft, bias = params
-            vectors = _sums(emb[g], o, len(there)) * inverse[:, None]
-            mean = _sums(vectors[word], bag, len(chosen)) / WIDTH
+            vectors = _sums(emb, g, o, len(there)) * inverse[:, None]
+            mean = _sums(vectors, word, bag, len(chosen)) / WIDTH
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             d = (p / p.sum(1, keepdims=True) - one_hot) * weight[:, None]
-            d_words = _sums((d @ soft.T)[bag], word, len(there)) * (inverse / WIDTH)[:, None]
-            grads = [_sums(d_words[o], g, BUCKETS) + DECAY * emb, mean.T @ d, d.sum(0)]
+            d_words = _sums(d @ soft.T, bag, word, len(there)) * (inverse / WIDTH)[:, None]
+            grads = [_sums(d_words, o, g, BUCKETS) + DECAY * emb, mean.T @ d, d.sum(0)]
             for k, grad in enumerate(grads):
                 speed[k] = 0.9 * speed[k] - RATES[k] * grad
                 params[k] = params[k] + speed[k]
@@ -159,7 +163,10 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     def tops() -> tuple[list[np.ndarray], np.ndarray]:
         """Each document's most toxic passage and what its words add to the log-odds."""
         emb, soft, _ = params
-        of_word = np.add.reduceat((emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)[gram], bounds[:-1]) / sizes
+        of_gram, of_word = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), np.empty(len(sizes))
+        for i in range(0, len(sizes), BLOCK):
+            at = bounds[i : i + BLOCK + 1]
+            of_word[i : i + BLOCK] = np.add.reduceat(of_gram[gram[at[0] : at[-1]]], at[:-1] - at[0]) / sizes[i : i + BLOCK]
         chosen, odds = [], []
         for b in bags:
             starts, ends = windows(len(b))
