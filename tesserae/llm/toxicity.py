@@ -10,7 +10,8 @@ anew in each round; a last step fits the slope and shift of the log-odds to
 both classes. Every passage of a whole text
 is scored (each run of WIDTH words) and the largest counts.
 As the model is linear in the average, a word adds one number to the log-odds,
-kept in a bounded table of words; unseen spellings get theirs from n-grams.
+kept in a bounded table of words; unseen spellings get theirs from n-grams,
+some at a time, so a text without breaks takes no more memory than others.
 
 Defined results: texts without words (null, empty) have the bias' score.
 Without any label, or labels of one class only, every score is that class's
@@ -48,19 +49,47 @@ SLOPES = (0.5, 3.0)
 PRIOR = 10.0
 #: Words of the sample that are weighed at a time.
 BLOCK = 1 << 14
-#: Words remembered by a worker.
-REMEMBER = 150_000
+#: Words remembered by a worker, and characters that such a word has at most.
+REMEMBER, KNOWN_CHARS = 150_000, 64
+#: N-grams of a word that are made at a time, and the largest number that counts equal ones (it fits 16 bits).
+LONG, COUNT = 1 << 14, (1 << 16) - 1
 THRESHOLD = 0.7
 SEED = 11
 
 words_of = re.compile(r"\w+").findall
 
 
-def grams_of(word: str) -> list[int]:
-    """Buckets of a word's n-grams and of the whole word."""
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def gram_blocks(word: str) -> Iterator[list[int]]:
+    """Buckets of the whole word and of a word's n-grams, about LONG at a time: a text can be one word."""
     marked = f"<{word}>"
-    found = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in [marked, *found]]
+    block = [_bucket(marked)]
+    for n in GRAMS:
+        for i in range(0, len(marked) - n + 1, LONG):
+            block += [_bucket(marked[k : k + n]) for k in range(i, min(i + LONG, len(marked) - n + 1))]
+            if len(block) >= LONG:
+                yield block
+                block = []
+    if block:
+        yield block
+
+
+def counted_grams(word: str) -> tuple[list[int], list[int]]:
+    """Buckets of a word's n-grams and how often each counts, at most COUNT; a long word's equal ones meet, so they are few."""
+    if len(word) <= LONG // len(GRAMS):
+        found = [g for block in gram_blocks(word) for g in block]
+        return found, [1] * len(found)
+    times = np.zeros(BUCKETS, np.int64)
+    for block in gram_blocks(word):
+        times += np.bincount(block, minlength=BUCKETS)
+    rows = -(-times // COUNT)
+    found = np.repeat(np.arange(BUCKETS), rows)
+    full = np.full(len(found), COUNT)
+    full[np.cumsum(rows)[rows > 0] - 1] = (times - (rows - 1) * COUNT)[rows > 0]
+    return found.tolist(), full.tolist()
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,9 +111,15 @@ class Model:
     def word_odds(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            found = self.known[word] = float(self.odds[grams_of(word)].mean())
+            total, n = 0.0, 0
+            for block in gram_blocks(word):
+                total += self.odds[block].sum()
+                n += len(block)
+            found = float(total / n)
+            if len(word) <= KNOWN_CHARS:
+                if len(self.known) >= REMEMBER:
+                    self.known.clear()
+                self.known[word] = found
         return found
 
     def log_odds(self, text: str) -> float:
@@ -107,9 +142,9 @@ class Constant:
         return self.share
 
 
-def _sums(values: np.ndarray, take: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """The rows that ``take`` names of values, summed where ``at`` puts them, one column at a time."""
-    return np.stack([np.bincount(at, column[take], n) for column in values.T], 1)
+def _sums(values: np.ndarray, take: np.ndarray, at: np.ndarray, n: int, times: np.ndarray | None = None) -> np.ndarray:
+    """The rows that ``take`` names of values, ``times`` each (once without it), summed where ``at`` puts them, one column at a time."""
+    return np.stack([np.bincount(at, column[take] if times is None else column[take] * times, n) for column in values.T], 1)
 
 
 def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
@@ -118,13 +153,14 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
     rng = np.random.default_rng(seed)
     number: dict[str, int] = {}
     bags = [np.array([number.setdefault(w, len(number)) for w in words_of(t.lower())] or [number.setdefault("", len(number))], np.int32) for t in texts]
-    flat, bounds = array("H"), array("q", [0])  # BUCKETS numbers fit 16 bits
+    flat, count, bounds = array("H"), array("H"), array("q", [0])  # BUCKETS numbers fit 16 bits
     for w in number:
-        flat.extend(grams_of(w))
+        for to, found in zip((flat, count), counted_grams(w), strict=True):
+            to.extend(found)
         bounds.append(len(flat))
     del number
-    gram, bounds = np.frombuffer(flat, np.uint16), np.frombuffer(bounds, np.int64)
-    sizes = np.diff(bounds)
+    gram, count, bounds = np.frombuffer(flat, np.uint16), np.frombuffer(count, np.uint16), np.frombuffer(bounds, np.int64)
+    sizes, totals = np.diff(bounds), np.add.reduceat(count, bounds[:-1], dtype=np.int64)
     label = np.array(y)
     share = np.array([1 - label.mean(), label.mean()])
 
@@ -145,17 +181,18 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
         there, word = np.unique(word, return_inverse=True)
         o = np.repeat(np.arange(len(there)), sizes[there])
         first = np.repeat(bounds[there] - np.append(0, np.cumsum(sizes[there])[:-1]), sizes[there])
-        g = gram[first + np.arange(len(o))]
-        inverse = 1 / sizes[there]
+        at = first + np.arange(len(o))
+        g, times = gram[at], count[at].astype(float) if count[at].max() > 1 else None
+        inverse = 1 / totals[there]
         for _ in range(STEPS):
             emb, soft, bias = params
-            vectors = _sums(emb, g, o, len(there)) * inverse[:, None]
+            vectors = _sums(emb, g, o, len(there), times) * inverse[:, None]
             mean = _sums(vectors, word, bag, len(chosen)) / WIDTH
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             d = (p / p.sum(1, keepdims=True) - one_hot) * weight[:, None]
             d_words = _sums(d @ soft.T, bag, word, len(there)) * (inverse / WIDTH)[:, None]
-            grads = [_sums(d_words, o, g, BUCKETS) + DECAY * emb, mean.T @ d, d.sum(0)]
+            grads = [_sums(d_words, o, g, BUCKETS, times) + DECAY * emb, mean.T @ d, d.sum(0)]
             for k, grad in enumerate(grads):
                 speed[k] = 0.9 * speed[k] - RATES[k] * grad
                 params[k] = params[k] + speed[k]
@@ -166,7 +203,8 @@ def fit(texts: list[str], y: list[int], seed: int = SEED) -> Model | Constant:
         of_gram, of_word = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), np.empty(len(sizes))
         for i in range(0, len(sizes), BLOCK):
             at = bounds[i : i + BLOCK + 1]
-            of_word[i : i + BLOCK] = np.add.reduceat(of_gram[gram[at[0] : at[-1]]], at[:-1] - at[0]) / sizes[i : i + BLOCK]
+            odds_there = of_gram[gram[at[0] : at[-1]]] * count[at[0] : at[-1]]
+            of_word[i : i + BLOCK] = np.add.reduceat(odds_there, at[:-1] - at[0]) / totals[i : i + BLOCK]
         chosen, odds = [], []
         for b in bags:
             starts, ends = windows(len(b))

@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -105,6 +106,25 @@ def test_long_text_is_scored_to_its_end():
     assert model.score(" ".join(texts[1:3])) < 0.7
 
 
+def test_a_word_without_breaks_is_made_in_parts(monkeypatch):
+    """A long word's n-grams count as when made at once, in fitting and scoring, with little memory."""
+    texts, y = made(60)
+    texts.append("idiot worthless " + "abcde" * 500)
+    y.append(1)
+    want = toxicity.fit(texts, y)
+    monkeypatch.setattr(toxicity, "LONG", 256)
+    monkeypatch.setattr(toxicity, "COUNT", 7)
+    model = toxicity.fit(texts, y)
+    assert np.allclose(model.odds, want.odds) and np.isclose(model.word_odds("fghij" * 400), want.word_odds("fghij" * 400))
+    monkeypatch.undo()
+    tracemalloc.start()
+    model.score("q" * 300_000)
+    toxicity.counted_grams("ab1" * 100_000)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < 10_000_000 and all(len(w) <= toxicity.KNOWN_CHARS for w in model.known)
+
+
 def test_texts_without_words_and_single_classes():
     for module in (quality, toxicity):
         score = (lambda m, t: m.score(t)) if module is toxicity else (lambda m, t: float(m.scores([t])[0]))
