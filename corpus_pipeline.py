@@ -56,7 +56,7 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each near-duplicate group: documents linked by a shingle similarity of 0.8 or more."""
+    """The first document of each near-duplicate group: SimHash candidates and those by bands, linked by a shingle similarity of 0.8 or more."""
     firsts = near_copies(docs, SHINGLE).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(firsts, "doc_id", "left_semi").select(docs.columns).union(docs.where("doc_id is null"))
 

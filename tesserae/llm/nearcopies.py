@@ -1,10 +1,13 @@
-"""Near copies by the Jaccard similarity of word shingles: banded minima of hashes as candidates, all verified.
+"""SimHash near copies, verified by the Jaccard similarity of their word shingles.
 
 Texts with equal shingle sets meet first, by a 64-bit hash of the set, which
-stands for all of them. Sets of similarity s agree in a band of ROWS minima
+stands for all of them. Candidates come in buckets: the classes of SimHash
+fingerprints that the trie self-join of ``simhash`` links, and, as sets at
+SIMILAR mostly differ in more bits than a trie can walk, bands of minima. Sets
+of similarity s agree in a band of ROWS minima
 with chance s ** ROWS, so a pair at 0.8 shares none of the BANDS bands with
-chance 4e-7, one above 0.8 with less. Each member of a band's bucket is tried
-with the bucket's first one. The sets of buckets that still hold several
+chance 4e-7, one above 0.8 with less. Each member of a
+bucket is tried with the bucket's first one. The sets of buckets that still hold several
 groups then meet by prefixes: in one order of all shingles, rare ones first,
 two sets of similarity SIMILAR share a shingle among the first (1 - SIMILAR)
 n + 1 of each, and the place of the first shared one bounds how many others
@@ -33,7 +36,8 @@ from pyspark.sql import functions as F
 from .common import give_back, join_skewed, map_batches, materialize, texts_of
 from .components import components
 from .linededup import FILTER_BITS
-from .simhash import LOWER, SEED, word_blocks
+from .simhash import SEED, majority, shingle_hashes, signed
+from .simhash import links as trie_links
 
 #: Least similarity of a link, as a fraction.
 SIMILAR = (4, 5)
@@ -49,18 +53,11 @@ SHIFTS = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """The distinct shingle hashes of a text, sorted."""
-    raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    found: list[np.ndarray] = []
-    carry: list[bytes] = []
-    for block in word_blocks(raw):
-        words = carry + block
-        if len(words) >= width:
-            found.append(np.array([digest(join(s), SEED) for s in zip(*[words[k:] for k in range(width)], strict=False)], np.uint64))
-        carry = words[-(width - 1) :] if width > 1 else []
-    if not found and carry:
-        found.append(np.array([digest(join(carry), SEED)], np.uint64))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    return _distinct(list(shingle_hashes(text, width)))
+
+
+def _distinct(hashes: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -79,9 +76,8 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
 
 
-def _keyed(text: str | None, width: int) -> tuple[int, np.ndarray]:
+def _keyed(found: np.ndarray) -> tuple[int, np.ndarray]:
     """The shingle set behind a hash of itself."""
-    found = shingle_set(text, width)
     return xxhash.xxh3_64_intdigest(found.tobytes()), found
 
 
@@ -90,15 +86,29 @@ def _keys(sets: list[tuple[int, np.ndarray]]) -> pa.Array:
 
 
 def _sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, the key of the shingle set, its size and its bands."""
+    """doc_id, the key of the shingle set, its size, the text's fingerprint and the set's bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [_keyed(t, width) for t in texts_of(batch.column(1))]
+            sets, fps = [], []
+            for text in texts_of(batch.column(1)):
+                hashes = list(shingle_hashes(text, width))
+                fps.append(signed(majority(hashes)))
+                sets.append(_keyed(_distinct(hashes)))
             sizes, found = pa.array([len(s) for _, s in sets], pa.int64()), pa.array([bands(s) for _, s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _keys(sets), sizes, found], ["doc_id", "id", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _keys(sets), sizes, pa.array(fps, pa.int64()), found], ["doc_id", "id", "n", "fp", "bands"])
+
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, id long, n long, fp long, bands array<long>")
+
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, id long, n long, bands array<long>")
+def _alike(sketches: DataFrame) -> DataFrame:
+    """id, doc_id, n and key of each set by its fingerprints: equal keys mean one class of the trie self-join."""
+    prints = materialize(sketches.groupBy("id", "fp").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "set-fingerprints")
+    counted = materialize(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("times")), "distinct-fingerprints")
+    classes = components(trie_links(counted.select("fp"))).withColumnRenamed("node", "fp")
+    key = F.xxhash64(F.coalesce("component", "fp"), F.lit("simhash")).alias("key")
+    named = materialize(counted.join(classes, "fp", "left").select("fp", key, "times"), "fingerprint-classes")
+    return join_skewed(prints, named, ["fp"], "times").select("id", "doc_id", "n", "key")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -107,7 +117,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
-                sets = [_keyed(t, width) for t in texts_of(batch.column(1).slice(i, 256))]
+                sets = [_keyed(shingle_set(t, width)) for t in texts_of(batch.column(1).slice(i, 256))]
                 yield pa.RecordBatch.from_arrays([_keys(sets), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["id", "shingles"])
 
     mark = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
@@ -204,7 +214,7 @@ def near_copies(docs: DataFrame, width: int) -> DataFrame:
     sketches = materialize(_sketches(docs, width), "sketches")
     distinct = sketches.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("times"))
     distinct = materialize(distinct, "distinct-sets")
-    members = distinct.select("id", "doc_id", "n", F.explode("bands").alias("key"))
+    members = distinct.select("id", "doc_id", "n", F.explode("bands").alias("key")).union(materialize(_alike(sketches), "fingerprint-members"))
     buckets = members.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.min_by("n", "id").alias("of"), F.count(F.lit(1)).alias("times"))
     buckets = materialize(buckets.where("first < last").drop("last"), "buckets")
     members = materialize(join_skewed(members, buckets, ["key"], "times"), "bucket-members")

@@ -22,7 +22,7 @@ component_id is null if no row of their component has a doc_id. Repeated rows st
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,27 +58,35 @@ def word_blocks(raw: bytes) -> Iterator[list[bytes]]:
         at = end
 
 
-def fingerprint(text: str | None, width: int) -> int:
+def shingle_hashes(text: str | None, width: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, block by block."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
-    ones, total = np.zeros(64, np.int64), 0
     carry: list[bytes] = []
+    some = False
     digest, join = xxhash.xxh64_intdigest, b" ".join
-
-    def count(shingles: list[bytes]) -> int:
-        h = np.array([digest(s, SEED) for s in shingles], ">u8")
-        np.add(ones, np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64), out=ones)
-        return len(h)
-
     for block in word_blocks(raw):
         words = carry + block
         if len(words) >= width:
-            total += count([join(s) for s in zip(*[words[k:] for k in range(width)], strict=False)])
+            some = True
+            yield np.array([digest(join(s), SEED) for s in zip(*[words[k:] for k in range(width)], strict=False)], np.uint64)
         carry = words[-(width - 1) :] if width > 1 else []
-    if not total and carry:
-        total += count([join(carry)])
+    if not some and carry:
+        yield np.array([digest(join(carry), SEED)], np.uint64)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of all hashes have; 0 for none."""
+    ones, total = np.zeros(64, np.int64), 0
+    for h in hashes:
+        ones += np.unpackbits(h.astype(">u8").view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
+        total += len(h)
     return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big") if total else 0
 
 
+def fingerprint(text: str | None, width: int) -> int:
+    return majority(shingle_hashes(text, width))
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 

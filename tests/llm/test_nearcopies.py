@@ -1,7 +1,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
+from tesserae.llm import nearcopies
 from tesserae.llm.nearcopies import near_copies
 from tesserae.llm.simhash import fingerprint
 
@@ -63,3 +66,20 @@ def test_null_and_repeated_ids_and_no_rows(spark, docs, none):
     assert corpus_pipeline.one_of_each(spark, none, "").collect() == []
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z")], "doc_id long, text string")
     assert {(r["doc_id"], r["component_id"]) for r in near_copies(twice, 5).collect()} == {(1, 1), (2, 1)}
+
+
+def test_simhash_classes_are_candidates(spark, monkeypatch):
+    """Without bands the trie's classes alone meet: links are near in bits and in shingles, not in bits alone."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for k in range(60):
+        base = [word() for _ in range(400)]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([*base[:-1], word()]))]
+    rows += [(500, "a b c d e " * 60), (501, "a b c d e " * 60 + "z y x w v")]  # one fingerprint, 5 of 11 shingles
+    bits = {d: fingerprint(t, 5) for d, t in rows}
+    near = {k for k in range(60) if (bits[2 * k] ^ bits[2 * k + 1]).bit_count() <= 4}
+    assert len(near) > 20 and (bits[500] ^ bits[501]).bit_count() <= 4
+    monkeypatch.setattr(nearcopies, "bands", lambda shingles: np.zeros(0, np.int64))
+    found = {r["doc_id"]: r["component_id"] for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()}
+    assert found == {d: d - 1 if d < 500 and d % 2 and d // 2 in near else d for d, _ in rows}
