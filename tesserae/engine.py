@@ -244,11 +244,11 @@ class Engine:
         text = F.concat_ws(" ", *texts) if texts else F.lit("")
         return similarity.embedded(df, F.when(F.trim(text) != "", text), self.embedder, "__vec"), how
 
-    def similar(self, name: str, query, k: int = 10, where: Query | None = None, precision: str | None = None) -> DataFrame:
-        """The k nearest documents with their score, among those that the filter admits."""
+    def similar(self, name: str, query, k: int = 10, where: Query | None = None, precision: str | None = None, places: int = similarity.PLACES) -> DataFrame:
+        """The k nearest documents with their score, among those that the filter admits; scores equal to that many places go by the key."""
         df, how = self.vector_rows(name, where.df() if where is not None else None)
         vector = self.embedder.vector(query) if isinstance(query, str) else query
-        found = similarity.nearest(df, "__vec", how["key"], vector, k, precision or how["precision"])
+        found = similarity.nearest(df, "__vec", how["key"], vector, k, precision or how["precision"], places)
         return found.drop("__vec")
 
     def hybrid(self, name: str, text: str, k: int = 10) -> DataFrame:

@@ -2,8 +2,10 @@
 
 Sign bits of the normalised vectors are kept in 63-bit words. A query's words
 are compared by bit counts (the sieve), the nearest candidates are scored by
-the exact cosine, and the best k stay: two take-ordered steps, no shuffle of
-the table. Vectors stay on the JVM; only free text is embedded in Python.
+the exact cosine, and the k-th best score is a floor: whatever else can reach
+it by its signs is scored as well, so the sieve loses no answer. Take-ordered
+steps, no shuffle of the table. Vectors stay on the JVM; only free text is
+embedded in Python.
 """
 
 from __future__ import annotations
@@ -19,9 +21,11 @@ from ..errors import EngineError
 from ..functions.embed import Embedder
 
 WORD = 63
-#: Candidates of each precision mode, by k; exact mode takes all.
+#: Candidates of each precision mode, by k, that set the floor; exact mode takes all.
 MODES = {"rapida": (200, 20), "equilibrada": (2000, 200), "exacta": None}
 RANK_BASE = 60
+#: Places that scores are rounded to unless a query names others.
+PLACES = 6
 
 
 def normalised(vec: Column) -> Column:
@@ -52,10 +56,17 @@ def hamming(vec: Column, query: np.ndarray) -> Column:
     return reduce(lambda a, b: a + b, [F.bit_count(w.bitwiseXOR(F.lit(q).cast("long"))) for w, q in zip(words, bits_of(query), strict=True)])
 
 
-def cosine(vec: Column, query: np.ndarray) -> Column:
-    """Dot product of a normalised column and a normalised query, rounded to 6 places."""
+def reach(vec: Column, query: np.ndarray) -> Column:
+    """The most that a vector of these signs can score: the length of the query's part of equal signs; NaN or null where a component is no finite number."""
+    squares = F.array(*[F.lit(float(x * abs(x))) for x in query])
+    terms = F.zip_with(vec, squares, lambda a, b: F.when((a > 0) == (b > 0), F.abs(b)).otherwise(F.lit(0.0)) + a.cast("double") * 0)
+    return F.sqrt(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x))
+
+
+def cosine(vec: Column, query: np.ndarray, places: int = PLACES) -> Column:
+    """Dot product of a normalised column and a normalised query, rounded."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    return F.round(F.aggregate(F.zip_with(vec, q, lambda a, b: a.cast("float").cast("double") * b), F.lit(0.0), lambda a, x: a + x), 6)
+    return F.round(F.aggregate(F.zip_with(vec, q, lambda a, b: a.cast("float").cast("double") * b), F.lit(0.0), lambda a, x: a + x), places)
 
 
 def unit(query) -> np.ndarray:
@@ -82,18 +93,24 @@ def candidates(mode: str, k: int) -> int | None:
     return None if found is None else max(found[0], found[1] * k)
 
 
-def nearest(df: DataFrame, vec: str, key: str, query, k: int = 10, mode: str = "rapida") -> DataFrame:
-    """The k rows of df nearest to the query, with score; ties go by the key."""
+def nearest(df: DataFrame, vec: str, key: str, query, k: int = 10, mode: str = "rapida", places: int = PLACES) -> DataFrame:
+    """The k rows of df nearest to the query, with score; ties of the rounded score go by the key."""
     q = unit(query)
     if len(q) % 8:
         raise EngineError("a vector's length is a multiple of 8")
+
+    def best(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn(vec, normalised(F.col(vec)))
+        return rows.withColumn("score", cosine(F.col(vec), q, places)).orderBy(F.desc("score"), key).limit(k)
+
     rows = df.where(F.size(vec) == len(q))
     most = candidates(mode, k)
     if most is not None:
-        # signs do not depend on the length: only the candidates are normalised
-        rows = rows.withColumn("__ham", hamming(F.col(vec), q)).orderBy("__ham", key).limit(most).drop("__ham")
-    rows = rows.withColumn(vec, normalised(F.col(vec)))
-    return rows.withColumn("score", cosine(F.col(vec), q)).orderBy(F.desc("score"), key).limit(k)
+        # signs do not depend on the length: only what passes them is normalised
+        sieved = rows.withColumn("__ham", hamming(F.col(vec), q)).orderBy("__ham", key).limit(most).drop("__ham")
+        floor = best(sieved).agg(F.when(F.count("score") == k, F.min("score"))).scalar()
+        rows = rows.where(F.coalesce(reach(F.col(vec), q) >= floor - 10.0**-places, F.lit(True)))
+    return best(rows)
 
 
 def fused(lists: dict[str, DataFrame], key: str, k: int) -> DataFrame:

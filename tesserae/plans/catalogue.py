@@ -484,23 +484,23 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @_query("vec_exact_topk", f"SELECT vec_id, score FROM ({_SCORED}) ORDER BY score DESC, vec_id LIMIT 10")
 def _exact(spark, d):
-    return _shown(_vectors(spark, d).similar("embeddings", _probe(spark, d), 10))
+    return _shown(_vectors(spark, d).similar("embeddings", _probe(spark, d), 10, places=4))
 
 
 @_query("vec_two_stage", f"SELECT vec_id, score FROM ({_SCORED}) ORDER BY score DESC, vec_id LIMIT 3")
 def _two_stage(spark, d):
-    return _shown(_vectors(spark, d, "equilibrada").similar("embeddings", _probe(spark, d), 3))
+    return _shown(_vectors(spark, d, "equilibrada").similar("embeddings", _probe(spark, d), 3, places=4))
 
 
 @_query("vec_filtered", f"SELECT vec_id, score FROM ({_SCORED}) WHERE label = 1 ORDER BY score DESC, vec_id LIMIT 5")
 def _filtered(spark, d):
     e = _vectors(spark, d)
-    return _shown(e.similar("embeddings", _probe(spark, d), 5, e.find("embeddings").where("label", 1)))
+    return _shown(e.similar("embeddings", _probe(spark, d), 5, e.find("embeddings").where("label", 1), places=4))
 
 
 @_query("vec_threshold", f"SELECT vec_id, score FROM (SELECT * FROM ({_SCORED}) ORDER BY score DESC, vec_id LIMIT 20) WHERE score > 0.3")
 def _threshold(spark, d):
-    return _shown(_vectors(spark, d).similar("embeddings", _probe(spark, d), 20).where("score > 0.3"))
+    return _shown(_vectors(spark, d).similar("embeddings", _probe(spark, d), 20, places=4).where("score > 0.3"))
 
 
 @_query("hamming_sieve", """SELECT e.vec_id, CAST(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END)) AS BIGINT) AS h
