@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +28,19 @@ RANK_BASE = 60
 PLACES = 6
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once a row: what a lambda takes from outside is computed anew for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalised(vec: Column) -> Column:
     """Length one, as stored: 32-bit floats; a zero vector stays."""
-    v = F.transform(vec, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
+        return once(norm, lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v))
+
+    return once(F.transform(vec, lambda x: x.cast("double")), scaled)
 
 
 def bits_of(v: np.ndarray) -> list[int]:
@@ -78,12 +86,15 @@ def unit(query) -> np.ndarray:
 
 
 def embedded(df: DataFrame, text: Column, embedder: Embedder, name: str) -> DataFrame:
-    """df with an embedded text column, by Arrow batches."""
-
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else embedder.vector(t).tolist())
-
-    return df.withColumn(name, F.pandas_udf(run, "array<double>")(text))
+    """df with an embedded text column, by Arrow batches; a filter of the vectors embeds no text again."""
+    def run(texts: pa.Array) -> pa.Array:
+        vectors = [np.asarray(embedder.vector(t.as_py()), float) if t.is_valid else None for t in texts]
+        ends = np.cumsum([0] + [0 if v is None else len(v) for v in vectors], dtype=np.int32)
+        there = [v for v in vectors if v is not None]
+        values = pa.array(np.concatenate(there) if there else np.empty(0))
+        return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([v is None for v in vectors], pa.bool_()))
+
+    return df.withColumn(name, F.arrow_udf(run, "array<double>").asNondeterministic()(text))
 
 
 def candidates(mode: str, k: int) -> int | None:

@@ -1,8 +1,16 @@
 """Similarity search: two stages against the exact one, ties, vectors that hold no numbers."""
 
+import pickle
+import re
+import time
+import zlib
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tesserae.functions import embed
 from tesserae.operators import similarity
 
 
@@ -38,3 +46,60 @@ def test_ties_of_the_rounded_score(spark):
     df = spark.createDataFrame([(i, [1.0, 0.5 - i * 1e-5] + [0.0] * 6) for i in range(6)], "id long, v array<double>")
     assert [i for i, _ in found(df, q, 2, "exacta", 4)] == [0, 1] == [i for i, _ in found(df, q, 2, "rapida", 4)]
     assert [i for i, _ in found(df, q, 2, "exacta")] == [5, 4]
+
+
+def plainly(text, dims):
+    """The embedder's definition, chunk by chunk."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    found = Counter()
+    for word in re.findall(r"[^\W_]+", text.strip(" \t\n\r\0\x0b").translate(lower).translate(embed.FOLD)):
+        found.update([f"p:{word}", *[f"t:{word[i : i + 3]}" for i in range(len(word) - 2)]])
+    v = np.zeros(dims)
+    for chunk, times in found.items():
+        v[zlib.crc32(chunk.encode()) % dims] += (-1.0 if zlib.crc32(b"s" + chunk.encode()) & 1 else 1.0) * times**0.5
+    return v
+
+
+def test_embedder_against_its_definition(monkeypatch):
+    rng = np.random.default_rng(3)
+    letters = list("aAbBeEéÉñÑ_ \n\0\tſİß9京")
+    texts = ["", " ", "The the THE tHé", "x" * 500, "aba " * 5000, *["".join(rng.choice(letters, 80)) for _ in range(100)]]
+    for most in (1 << 17, 40):  # the second forgets again and again
+        monkeypatch.setattr(embed, "REMEMBER", most)
+        e = embed.HashEmbedder(64)
+        for text in texts:
+            assert np.array_equal(e.vector(text), plainly(text, 64)), text
+        assert len(e.words) <= most and all(len(w) <= embed.KNOWN_CHARS for w in e.words)
+        assert not pickle.loads(pickle.dumps(e)).words
+
+
+class Counted:
+    """An embedder that counts what it embeds."""
+
+    dims = 8
+
+    def __init__(self, seen):
+        self.seen = seen
+
+    def vector(self, text):
+        self.seen.add(1)
+        return np.arange(8.0) + len(text)
+
+
+def test_texts_are_embedded_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    df = spark.createDataFrame([(i, "ab" * i if i else None) for i in range(3000)], "id long, t string")
+    rows = similarity.embedded(df, df["t"], Counted(seen), "v")
+    assert len(found(rows, np.arange(8.0), 5, "exacta")) == 5
+    assert seen.value == 2999
+    assert found(similarity.embedded(df.limit(1), df["t"], Counted(seen), "v"), np.arange(8.0), 5, "exacta") == []
+
+
+def test_normalising_is_linear(spark):
+    """The norm of a vector is computed once, not once a component."""
+    df = spark.range(8).select("id", F.transform(F.sequence(F.lit(1), F.lit(16384)), lambda x: (x + F.col("id")).cast("float")).alias("v"))
+    df.count()
+    began = time.monotonic()
+    got = df.select(similarity.normalised(F.col("v"))[0]).collect()
+    assert time.monotonic() - began < 20
+    assert got[0][0] == pytest.approx(1 / np.sqrt((np.arange(1.0, 16385) ** 2).sum()))
