@@ -26,6 +26,9 @@ MODES = {"rapida": (200, 20), "equilibrada": (2000, 200), "exacta": None}
 RANK_BASE = 60
 #: Places that scores are rounded to unless a query names others.
 PLACES = 6
+#: Rows and bytes of one Arrow batch of texts: bounds a Python worker's memory.
+BATCH_ROWS = 1024
+BATCH_BYTES = 4 << 20
 
 
 def once(value: Column, use) -> Column:
@@ -86,7 +89,13 @@ def unit(query) -> np.ndarray:
 
 
 def embedded(df: DataFrame, text: Column, embedder: Embedder, name: str) -> DataFrame:
-    """df with an embedded text column, by Arrow batches; a filter of the vectors embeds no text again."""
+    """df with an embedded text column, by Arrow batches of at most BATCH_ROWS texts; a filter of the vectors embeds no text again."""
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{key}").lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
     def run(texts: pa.Array) -> pa.Array:
         vectors = [np.asarray(embedder.vector(t.as_py()), float) if t.is_valid else None for t in texts]
         ends = np.cumsum([0] + [0 if v is None else len(v) for v in vectors], dtype=np.int32)

@@ -92,6 +92,7 @@ def test_texts_are_embedded_once(spark):
     rows = similarity.embedded(df, df["t"], Counted(seen), "v")
     assert len(found(rows, np.arange(8.0), 5, "exacta")) == 5
     assert seen.value == 2999
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
     assert found(similarity.embedded(df.limit(1), df["t"], Counted(seen), "v"), np.arange(8.0), 5, "exacta") == []
 
 
